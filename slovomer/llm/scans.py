@@ -407,9 +407,9 @@ def corpus_lexicon(docs: DataFrame, words: DataFrame | None = None, text_col: st
             lexicon.setdefault(r.w, 1)
     # a misread form that recurs is no word: it is known only if no far more frequent word is one confusion away
     given = {r.w for r in rows} if words is not None else set()
-    probe = Lexicon(lexicon)
+    probe = Lexicon(dict(lexicon))
     for w in [w for w in lexicon if w not in given and len(w) > 2]:
-        if any(d <= 0.5 and lexicon[c] > 8 * lexicon[w] for d, c in probe.look_up(w) if c != w):
+        if any(d <= 0.5 and probe.words[c] > 8 * probe.words[w] for d, c in probe.look_up(w) if c != w):
             del lexicon[w]
     return Lexicon(lexicon, {r.term: r.n for r in kept if " " in r.term and r.term[0] != "#"}, [r.term[1:] for r in kept if r.term[0] == "#"])
 
