@@ -45,7 +45,7 @@ def by_function(tokenizer: Callable[[str], Iterable[str]]) -> Callable[[Column],
 
         return texts.map(one, na_action="ignore")
 
-    return cut
+    return cut.asNondeterministic()  # else it is moved into generators, where no Python runs
 
 
 def _checked(tokenizer: Tokenizer) -> None:

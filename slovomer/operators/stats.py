@@ -58,8 +58,7 @@ def histogram(docs: DataFrame, of: str = "letters", words: WordSpec = WordSpec()
     if of not in ("letters", "syllables"):
         raise ValueError("a histogram is of letters or syllables")
     w = F.col(words_col) if words_col else words.column(F.col(text_col))
-    word = F.explode(w).alias("word")
-    rows = docs.select(id_col, word)
+    rows = docs.select(id_col, w.alias("_words")).select(id_col, F.explode("_words").alias("word"))
     key = F.length("word") if of == "letters" else S.count_syllables(F.col("word"), alphabet)
     return rows.groupBy(id_col, key.alias("key")).agg(F.count("*").alias("cnt"))
 

@@ -64,14 +64,14 @@ def fingerprint(lists: DataFrame, segment_len: int = 10, metric: Callable[[Colum
     pieces = F.concat(F.transform(starts, lambda i: span(w, i * step, segment_len)), F.array(F.slice(w, k * step + 1, F.greatest(n - k * step, F.lit(0)))))
     if python_metric and metric is not None:
 
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf("double")
         def measured(segments: pd.Series) -> pd.Series:
-            return segments.map(lambda s: [float(metric(list(x))) for x in s], na_action="ignore")
+            return segments.map(lambda s: float(metric(list(s))))
 
-        values = measured(pieces)
-    else:
-        values = F.transform(pieces, metric or ttr)
-    return lists.where(w.isNotNull()).select(id_col, F.posexplode(values).alias("seg_pos", "metric"))
+        # segments first, then the function: it can't be evaluated inside a generator
+        segments = lists.where(w.isNotNull()).select(id_col, F.posexplode(pieces).alias("seg_pos", "segment"))
+        return segments.select(id_col, "seg_pos", measured("segment").alias("metric"))
+    return lists.where(w.isNotNull()).select(id_col, F.posexplode(F.transform(pieces, metric or ttr)).alias("seg_pos", "metric"))
 
 
 def fingerprint_grid(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.tokens import WordSpec
 
 def word_table(docs: DataFrame, spec: WordSpec = WordSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, word), one row for each word, positions from 0; row-local."""
-    return docs.select(id_col, F.posexplode(spec.column(F.col(text_col))).alias("pos", "word"))
+    return docs.select(id_col, spec.column(F.col(text_col)).alias("_words")).select(id_col, F.posexplode("_words").alias("pos", "word"))
 
 
 def listed_words(lists: DataFrame, id_col: str = "doc_id", words_col: str = "words") -> DataFrame:
@@ -35,7 +35,8 @@ def extract_words(docs: DataFrame, spec: WordSpec, lexicon: DataFrame, id_col: s
 
     A word that the lexicon doesn't know is its own lemma, in lower case.
     """
-    tokens = docs.select(id_col, F.posexplode_outer(replace(spec, use_lexemes=False).tokens(F.col(text_col))).alias("pos", "word"))
+    cut = docs.select(id_col, replace(spec, use_lexemes=False).tokens(F.col(text_col)).alias("_words"))
+    tokens = cut.select(id_col, F.posexplode_outer("_words").alias("pos", "word"))
     lemmas = first_analyses(lexicon, rank_col).select("key", F.col("normal_form").alias("lemma"))
     met = tokens.withColumn("key", F.lower("word")).join(lemmas, "key", "left").withColumn("lemma", F.coalesce("lemma", "key"))
     listed = met.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "lemma")))).alias("w"))

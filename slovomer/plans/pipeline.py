@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import stats as S
 from ..functions.diversity import MEASURES
-from ..functions.patterns import RU_VOWELS, TOKEN_RE
+from ..functions.patterns import PUNCTUATIONS, RU_VOWELS, TOKEN_RE
 from ..functions.tokens import SentSpec, WordSpec
-from ..operators import diversity, morphology, stats
+from ..operators import diversity, morphology
 
 
 class _Stage(Transformer):
@@ -30,10 +32,6 @@ class _Stage(Transformer):
 
 class _RowStage(_Stage):
     def _columns(self, rows: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
-
-        from ..functions import stats as S
-
         w = F.col(self.words_col) if self.words_col else self.words.column(F.col(self.text_col))
         s = F.col(self.sents_col) if self.sents_col else self.sents.column(F.col(self.text_col))
         kept = rows.columns
@@ -43,9 +41,7 @@ class _RowStage(_Stage):
         t = t.withColumn("_b", F.when(F.size("_w") > 0, F.struct(*(v.alias(k) for k, v in counts.items()))))
         return t.select(*kept, self._result().alias(self.name))
 
-    def _result(self):
-        from pyspark.sql import functions as F
-
+    def _result(self) -> Column:
         return F.col("_b")
 
 
@@ -56,11 +52,7 @@ class BasicStage(_RowStage):
 class ReadabilityStage(_RowStage):
     default = "readability"
 
-    def _result(self):
-        from pyspark.sql import functions as F
-
-        from ..functions import stats as S
-
+    def _result(self) -> Column:
         return F.struct(*(v.alias(k) for k, v in S.readability(lambda c: F.col(f"_b.{c}")).items()))
 
 
@@ -68,8 +60,6 @@ class DiversityStage(_Stage):
     default = "diversity"
 
     def _columns(self, rows: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
-
         w = F.col(self.words_col) if self.words_col else diversity.LOWER.column(F.col(self.text_col))
         return rows.withColumn(self.name, diversity.diversity_udf()(w))
 
@@ -84,20 +74,18 @@ class MorphStage(_Stage):
         self.lexicon, self.id_col = lexicon, id_col
 
     def _columns(self, rows: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
-
         tags = morphology.analyse(rows, self.lexicon, self.words, self.id_col, self.text_col, self.words_col)
         long = morphology.morph_stats(tags, filter_none=True, id_col=self.id_col)
         per = long.groupBy(self.id_col, "category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "cnt")))).alias("m"))
-        all_ = per.groupBy(self.id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "m")))).alias(self.name)) if False else per.groupBy(self.id_col).agg(F.map_from_entries(F.collect_list(F.struct("category", "m"))).alias(self.name))
-        return rows.join(all_, self.id_col, "left")
+        whole = per.groupBy(self.id_col).agg(F.map_from_entries(F.collect_list(F.struct("category", "m"))).alias(self.name))
+        return rows.join(whole, self.id_col, "left")
 
 
 def register(spark: SparkSession, prefix: str = "") -> list[str]:
     """SQL functions of row-level statistics: their bodies are inlined by Catalyst."""
-    token = TOKEN_RE.replace("\\", "\\\\").replace("'", "\\'")
+    token, signs = (x.replace("\\", "\\\\").replace("'", "\\'") for x in (TOKEN_RE, PUNCTUATIONS))
     bodies = {
-        "words": ("text STRING", f"regexp_extract_all(text, '{token}', 0)"),
+        "words": ("text STRING", f"filter(regexp_extract_all(text, '{token}', 0), w -> NOT contains('{signs}', w))"),
         "syllables": ("word STRING", f"length(word) - length(translate(word, '{RU_VOWELS}', ''))"),
         "type_token_ratio": ("words ARRAY<STRING>", "coalesce(try_divide(CAST(size(array_distinct(words)) AS DOUBLE), CAST(size(words) AS DOUBLE)), 0D)"),
     }
@@ -107,4 +95,4 @@ def register(spark: SparkSession, prefix: str = "") -> list[str]:
     return [*(prefix + n for n in bodies), f"{prefix}diversity"]
 
 
-__all__ = ["MEASURES", "BasicStage", "DiversityStage", "MorphStage", "ReadabilityStage", "register", "stats"]
+__all__ = ["MEASURES", "BasicStage", "DiversityStage", "MorphStage", "ReadabilityStage", "register"]

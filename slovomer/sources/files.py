@@ -61,7 +61,7 @@ def extract_archive(archive_file: str | Path, extract_dir: str | Path | None = N
     else:
         with tarfile.open(archive) as t:
             t.extractall(folder, filter="data")
-    root = os.path.commonpath(members) if members else ""
+    root = os.path.commonpath(members).split("/")[0] if members else ""
     if not root:
         return str(folder)
     name = archive.name.split(".")[0] or archive.name
