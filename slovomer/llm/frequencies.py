@@ -92,12 +92,13 @@ def _aggregate(folder: str, split_rows: int, memory: str):
 
             def sums(table: str, size: int, shift: int) -> Iterator[pa.RecordBatch]:
                 if size <= split_rows or shift >= 60:
-                    yield from db.sql(f"select term, sum(n)::bigint n, sum(docs)::bigint docs from {table} group by term").to_arrow_reader(100_000)
+                    with db.cursor() as reader:  # its result stays open while other parts are made
+                        yield from reader.sql(f"select term, sum(n)::bigint n, sum(docs)::bigint docs from {table} group by term").to_arrow_reader(100_000)
                     return
                 for k in range(1 << SPLIT_BITS):
                     name = f"{table}_{k}"
                     db.execute(f"create table {name} as select * from {table} where (hash(term) >> {shift}) & {(1 << SPLIT_BITS) - 1} = {k}")
-                    part = db.execute(f"select count(*) from {name}").fetchone()[0]
+                    part = db.execute(f"select count(*) from {name}").fetchall()[0][0]
                     yield from sums(name, part, shift + SPLIT_BITS if part < size else 60)
                     db.execute(f"drop table {name}")
 

@@ -64,7 +64,7 @@ _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 #: Tokens with a letter that is not of the document's main script.
 _JOINED = r"(?:[^\W\d_]|['’ʼ-](?=[^\W\d_]))*"
-_FOREIGN = {s: re.compile(rf"[^\W\d_]*[{f}]{_JOINED}") for s, f in (("Latin", "Ͱ-ԯ"), ("Cyrillic", "A-Za-zÀ-ɏͰ-Ͽ"), ("Greek", "A-Za-zÀ-ɏЀ-ԯ"))}
+_FOREIGN = {s: re.compile(rf"(?<![^\W\d_])[^\W\d_]*[{f}]{_JOINED}") for s, f in (("Latin", "Ͱ-ԯ"), ("Cyrillic", "A-Za-zÀ-ɏͰ-Ͽ"), ("Greek", "A-Za-zÀ-ɏЀ-ԯ"))}
 
 
 def _script_counts(text: str) -> dict[str, int]:

@@ -42,6 +42,7 @@ z.b d.h nr bzw ca
 # Units, endings of enumerations and years, after which one may end.
 LAST_BEFORE_CAPITAL = "г гг в вв м км см кг руб коп тыс млн млрд н.э т.д т.п др пр р рр usw etc p.m a.m st".split()
 _NEVER = {look(w) for w in NEVER_LAST} - {look("с")} | {look("с")}
+_MAY_END = {look(w) for w in LAST_BEFORE_CAPITAL if "." in w}
 #: Those that name a place or person unless a number stands before.
 _AFTER_NUMBER = {look(w) for w in ("г", "м", "р", "с", "д", "п", "в")}
 _MONTHS = re.compile(r"\s+(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez)")
@@ -106,26 +107,32 @@ def _shortened(text: str, dot: int, after: int) -> bool:
     m = _WORD_BEFORE.search(text, max(0, dot - 24), dot)
     if not m:  # a number: goes on before a digit or, as a day, before a month
         return bool(_MONTHS.match(text, after)) and text[max(0, dot - 1) : dot].isdigit()
-    word = m.group().replace("\x00", "").replace(" ", "")
-    last = word.rpartition(".")[2]
+    parts = m.group().replace("\x00", "").replace(" ", "").split(".")
+    last = parts[-1]
     if len(last) == 1 and _UPPER.match(last):  # an initial
-        before = text[max(0, m.start() - 1) : m.start()]
-        return not before.isdigit()
-    if len(last) == 1 and "." not in word and _SECOND_PART.match(text, after):
-        return True
-    key, short = look(word.lower()), look(last.lower())
-    if short in _AFTER_NUMBER and "." not in word:
-        if _NUMBER_BEFORE.search(text, max(0, m.start() - 6), m.start()):
-            return False
-        if short == look("в"):
+        return not text[max(0, m.end() - 2) : m.end() - 1].isdigit()
+    short = look(last.lower())
+    if len(parts) > 1:
+        pair = look(f"{parts[-2]}.{last}".lower())
+        if pair in _MAY_END:
             return False
+        if pair in _NEVER:
+            return True
+    if len(last) == 1 and _SECOND_PART.match(text, after):
         return True
-    if key in _NEVER:
-        return True
-    tail = ".".join(key.split(".")[-2:])
-    if tail in _NEVER:
+    if short in _AFTER_NUMBER:
+        if _NUMBER_BEFORE.search(text, max(0, m.end() - len(last) - 6), m.end() - len(last)):
+            return False
+        return short != look("в")
+    return short in _NEVER
+
+
+def _opens(text: str, at: int) -> bool:
+    """Whether the sign “, which closes in German, opens here."""
+    after, before = text[at + 1 : at + 2], text[at - 1 : at] if at else ""
+    if _CJK.match(after):
         return True
-    return "." not in word and short in _NEVER
+    return bool(after.strip()) and (not before or before.isspace() or before in "(—:「\x00")
 
 
 def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[int, ...] | int, bool]]:
@@ -155,9 +162,9 @@ def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[i
                 continue
             yield 2, b, (2,), bool(before) and before in _TERMINALS and _begins(text, b)
             continue
-        if c in _OPEN and not (c == "“" and (a > 0 and not text[a - 1].isspace() and text[a - 1] not in "(—：:「。！？\x00，,”" or not text[b : b + 1].strip())):
+        if c in _OPEN and (c != "“" or _opens(text, a)):
             kind = _OPEN[c]
-            if kind == 2 and c == "“" and text[a - 1 : a] in "：" and a:
+            if kind == 2 and c == "“" and a and text[a - 1] in "：:":
                 kind = _REPORTED
             yield 1, b, kind, False
             continue
@@ -186,7 +193,7 @@ def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[i
                 yield 0, a, 0, True
             continue
         # a run of stops
-        if text[b : b + 1] in _CLOSE or text[b : b + 1] == "\"":
+        if text[b : b + 1] == "\"" or text[b : b + 1] in _CLOSE and not (text[b] == "“" and _opens(text, b)):
             continue  # the closing decides
         nxt = text[b : b + 1]
         if c == "." and b - a == 1:
@@ -329,6 +336,6 @@ def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entry = F.aggregate(F.collect_list(F.when(F.col("n") > 1, F.col("fn"))).over(before), F.lit(0), lambda s, f: F.element_at(f, s + 1))
     entered = "filter(arrays_zip(ends, masks), e -> (e.masks & shiftleft(1L, entry)) <> 0).ends"
     ends = solved.withColumn("entry", entry).select("id", F.expr(f"if(n = 1, ends, {entered})").alias("ends"))
-    units = ends.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("ends"))
+    units = ends.groupBy("id").agg(F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_list("ends"))), lambda e: e > 0)).alias("ends"))
     units = units.select("id", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("start"), F.col("ends").alias("end"))).alias("u"))
     return units.select(F.col("id").alias(id_col), (F.col("u.start") + 1).alias("start_pos"), F.col("u.end").alias("end_pos"))
