@@ -67,26 +67,33 @@ def _mtld_one_way(prev: np.ndarray, min_len: int) -> float:
     return _quotient(n, factors)
 
 
-def _mamtld_one_way(prev: np.ndarray, min_len: int) -> float:
-    n = len(prev)
-    start, types, size = np.arange(n), np.zeros(n, np.int64), 0
-    factors, total = 0, 0
+def _mamtld_one_way(prevs: list[np.ndarray], min_len: int) -> np.ndarray:
+    """For each of many lists: all their starts grow together, so short lists share the cost of a step."""
+    sizes = np.array([len(p) for p in prevs], np.int64)
+    first = np.cumsum(sizes) - sizes
+    factors, total = np.zeros(len(prevs)), np.zeros(len(prevs))
+    prev = np.concatenate([np.where(p < 0, -1, p + f) for p, f in zip(prevs, first)]) if len(prevs) else np.zeros(0, np.int64)
+    start = np.arange(len(prev))
+    doc = np.repeat(np.arange(len(prevs)), sizes)
+    end, types, size = (first + sizes)[doc], np.zeros(len(prev), np.int64), 0
     while len(start):
         at = start + size
-        if at[-1] >= n:  # starts are ascending: those that have reached the end have no factor
-            keep = at < n
-            start, types, at = start[keep], types[keep], at[keep]
+        keep = at < end  # a start that has reached the end of its list has no factor
+        if not keep.all():
+            start, doc, end, types, at = start[keep], doc[keep], end[keep], types[keep], at[keep]
             if not len(start):
                 break
-        types = types + (prev[at] < start)
+        types += prev[at] < start
         size += 1
         if size >= min_len:
             done = types / size < FULL_FACTOR
-            k = int(done.sum())
-            if k:
-                factors, total = factors + k, total + k * size
-                start, types = start[~done], types[~done]
-    return _quotient(total, factors, 1.0)
+            if done.any():
+                found = np.bincount(doc[done], minlength=len(prevs))
+                factors += found
+                total += found * size
+                left = ~done
+                start, doc, end, types = start[left], doc[left], end[left], types[left]
+    return np.where(factors > 0, total / np.maximum(factors, 1), 1.0)
 
 
 def mtld_of(codes: np.ndarray, min_len: int = MIN_LEN) -> float:
@@ -94,7 +101,7 @@ def mtld_of(codes: np.ndarray, min_len: int = MIN_LEN) -> float:
 
 
 def mamtld_of(codes: np.ndarray, min_len: int = MIN_LEN) -> float:
-    return (_mamtld_one_way(previous(codes), min_len) + _mamtld_one_way(previous(codes[::-1]), min_len)) / 2
+    return float((_mamtld_one_way([previous(codes)], min_len) + _mamtld_one_way([previous(codes[::-1])], min_len))[0] / 2)
 
 
 def hdd_of(freq: np.ndarray, n: int, sample: int = SAMPLE) -> float:
@@ -110,12 +117,34 @@ def hdd_of(freq: np.ndarray, n: int, sample: int = SAMPLE) -> float:
 
 def measures(words, window: int = WINDOW, segment: int = SEGMENT, min_len: int = MIN_LEN, sample: int = SAMPLE) -> tuple[float, ...]:
     """All measures of a word list, in the order of ``MEASURES``."""
-    n = len(words)
-    codes = codes_of(words)
+    return measures_many([words], window, segment, min_len, sample)[0]
+
+
+#: Words of lists whose moving-average factors are grown together.
+TOGETHER = 1 << 19
+
+
+def measures_many(lists, window: int = WINDOW, segment: int = SEGMENT, min_len: int = MIN_LEN, sample: int = SAMPLE) -> list[tuple[float, ...]]:
+    out: list[tuple[float, ...]] = []
+    group: list = []
+    size = 0
+    for k, words in enumerate(lists):
+        group.append(words)
+        size += len(words)
+        if size > TOGETHER or k == len(lists) - 1:
+            codes = [codes_of(w) for w in group]
+            prev, back = [previous(c) for c in codes], [previous(c[::-1]) for c in codes]
+            moving = (_mamtld_one_way(prev, min_len) + _mamtld_one_way(back, min_len)) / 2
+            out += [_measures(*x, window, segment, min_len, sample) for x in zip(codes, prev, back, moving.tolist())]
+            group, size = [], 0
+    return out
+
+
+def _measures(codes: np.ndarray, prev: np.ndarray, back: np.ndarray, moving: float, window: int, segment: int, min_len: int, sample: int) -> tuple[float, ...]:
+    n = len(codes)
     freq = np.bincount(codes) if n else np.zeros(0, np.int64)
     v = len(freq)
     ln, lv = (log10(n), log10(v)) if n else (0.0, 0.0)
-    prev, back = previous(codes), previous(codes[::-1])
     sttr = 0.0 if n <= 1 or v <= 1 or not log10(ln) else log10(lv) / log10(ln)
     pairs = int((freq * (freq - 1)).sum())
     rare = _quotient(int((freq == 1).sum()), v)
@@ -130,7 +159,7 @@ def measures(words, window: int = WINDOW, segment: int = SEGMENT, min_len: int =
         _mattr(prev, n, v, window),
         _msttr(prev, n, v, segment),
         (_mtld_one_way(prev, min_len) + _mtld_one_way(back, min_len)) / 2,
-        (_mamtld_one_way(prev, min_len) + _mamtld_one_way(back, min_len)) / 2,
+        moving,
         hdd_of(freq, n, sample),
         _quotient(n * (n - 1), pairs),
         _quotient(100 * ln, 1 - rare),
@@ -142,7 +171,9 @@ def diversity_udf(window: int = WINDOW, segment: int = SEGMENT, min_len: int = M
 
     @F.pandas_udf(SCHEMA)
     def run(lists: pd.Series) -> pd.DataFrame:
+        given = [w for w in lists if w is not None]
+        told = iter(measures_many(given, window, segment, min_len, sample))
         none = (None,) * len(MEASURES)
-        return pd.DataFrame([none if w is None else measures(w, window, segment, min_len, sample) for w in lists], columns=list(MEASURES))
+        return pd.DataFrame([none if w is None else next(told) for w in lists], columns=list(MEASURES))
 
     return run

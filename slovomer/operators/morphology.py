@@ -15,6 +15,9 @@ from .words import first_analyses, listed_words, word_table
 CATEGORIES = ("pos", "animacy", "aspect", "case", "gender", "involvement", "mood", "number", "person", "tense", "transitivity", "voice")
 
 
+_SEP = "\x1f"
+
+
 def checked(names: tuple[str, ...]) -> tuple[str, ...]:
     """The chosen categories, all if none is named; an unknown one is a KeyError."""
     for n in names:
@@ -31,7 +34,8 @@ def tagged(words: DataFrame, lexicon: DataFrame, case_col: str = "gram_case", ra
     """
     if case_col in lexicon.columns and case_col != "case":
         lexicon = lexicon.withColumnRenamed(case_col, "case")
-    first = first_analyses(lexicon, rank_col).select("key", "normal_form", F.struct(*CATEGORIES).alias("tag"))
+    code = F.concat_ws(_SEP, *(F.coalesce(F.col(c), F.lit("")) for c in CATEGORIES))
+    first = first_analyses(lexicon, rank_col).select("key", "normal_form", F.struct(*CATEGORIES).alias("tag"), code.alias("code"))
     return words.withColumn("key", F.lower("word")).join(first, "key", "left").drop("key")
 
 
@@ -43,9 +47,10 @@ def analyse(docs: DataFrame, lexicon: DataFrame, words: WordSpec = WordSpec(), i
 def morph_stats(tags: DataFrame, *names: str, filter_none: bool = False, id_col: str = "doc_id") -> DataFrame:
     """(id, category, value, cnt) of the chosen categories; ``filter_none`` leaves out words without a value."""
     chosen = checked(names)
-    # combine equal tags first: the twelve-fold unpivot then runs over tags, not words
-    few = tags.groupBy(id_col, "tag").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    pairs = F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"tag.{c}").alias("value")) for c in chosen))
+    # combine equal tags first, by one string that the lexicon side made: the unpivot then runs over tags, not words
+    few = tags.groupBy(id_col, "code").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    few = few.withColumn("values", F.split("code", _SEP, -1))
+    pairs = F.array(*(F.struct(F.lit(c).alias("category"), F.nullif(F.get("values", F.lit(CATEGORIES.index(c))), F.lit("")).alias("value")) for c in chosen))
     long = few.select(id_col, "n", "first_pos", F.explode(pairs).alias("p")).select(id_col, "p.*", "n", "first_pos")
     if filter_none:
         long = long.where("value is not null")
