@@ -12,6 +12,9 @@ Scale: one pass counts the words (combined before the shuffle), a second judges
 where it is read.  The lexicon that travels to the tasks holds the words of at least
 ``LEXICON_SHARE`` of all documents, so its size is bounded by the words of a text divided
 by that share, however large the collection; the same holds for the bigrams and running heads.
+Words and heads below the share, but in ``LEXICON_LEAST`` and ``HEAD_LEAST`` documents, stay a
+table: what a scanned text asks for is joined with it by deletes, and each text is judged with
+its own rows of it.  A head that repeats within one text needs no other.
 
 Defined results for odd input: null and blank texts have no damage and come back as they
 are; texts that aren't set in lines of one measure are not scanned; very long texts are
@@ -22,14 +25,17 @@ the result is empty; only the id and text columns (and the word table's column)
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+import zlib
+from collections import ChainMap, Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .frequencies import term_frequencies
 
 LEXICON_SHARE, LEXICON_LEAST = 0.0005, 5
@@ -116,6 +122,8 @@ class Lexicon:
         self.heads = {h for h in heads if h}
         self.head_deletes = {d for h in self.heads for d in _deletes(h)}
         self.look_up = lru_cache(maxsize=1 << 16)(self._look_up)
+        #: (term, docs) of the words and "#" + heads that don't travel; stays on the driver.
+        self.rest: DataFrame | None = None
 
     def __reduce__(self):
         return Lexicon, (self.words, self.bigrams, list(self.heads))
@@ -147,6 +155,22 @@ class Lexicon:
         return bool(key) and (key in self.heads or len(key) > 5 and (key in self.head_deletes or not self.head_deletes.isdisjoint(_deletes(key))))
 
 
+class Widened(Lexicon):
+    """A lexicon with some more words and heads for one text."""
+
+    def __init__(self, base: Lexicon, words: dict[str, int], heads: Iterable[str]):
+        self.base, self.own = base, Lexicon(words, None, heads)
+        self.words, self.bigrams = ChainMap(words, base.words), base.bigrams
+
+    def look_up(self, word: str) -> tuple[tuple[float, str], ...]:
+        if not self.own.words:
+            return self.base.look_up(word)
+        return tuple(sorted({*self.base.look_up(word), *self.own._look_up(word)}, key=lambda c: (c[0], -self.words[c[1]], c[1])))
+
+    def is_head(self, line: str) -> bool:
+        return self.base.is_head(line) or self.own.is_head(line)
+
+
 def _deletes(word: str) -> set[str]:
     return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
@@ -229,6 +253,9 @@ def judge(text: str | None, lexicon: Lexicon) -> tuple[bool, list[tuple[int, str
     scanned, _ = is_scanned(lines)
     if not scanned:
         return False, [], text
+    repeated = [h for h, times in Counter(running_heads(text)).items() if times > 1]
+    if repeated:
+        lexicon = Widened(lexicon, {}, repeated)
     n = len(lines)
     measure = max(len(x.rstrip()) for x in lines)
     page = [bool(PAGE.match(x)) for x in lines]
@@ -371,10 +398,9 @@ def _mend(a: str, b: str, lexicon: Lexicon, before: str) -> tuple[str, bool, boo
 _CAPITAL = re.compile("[А-ЯЁ]")
 
 
-def count_terms(text: str) -> list[str]:
-    """Terms of the counting pass: words, "ending ending" of neighbours, and "#" + running heads."""
-    words = _WORDS.findall(text.lower())
-    terms = words + [f"{a[-2:]} {b[-2:]}" for a, b in zip(words, words[1:])]
+def running_heads(text: str) -> list[str]:
+    """Title lines beside a page number or on one line with it, each as often as it stands there."""
+    heads: list[str] = []
     if "\n" in text and any(map(str.isdigit, text)):
         lines = [x for x in text.split("\n") if x and not x.isspace()]
         for k, line in enumerate(lines):
@@ -383,21 +409,143 @@ def count_terms(text: str) -> list[str]:
             if m := _AT_EDGE.match(line):
                 title = m.group("t1") or m.group("t2") or m.group("t3")
                 if _CAPITAL.match(title):
-                    terms.append("#" + head_key(title))
+                    heads.append(head_key(title))
             elif PAGE.match(line):
                 for other in lines[max(0, k - 1) : k] + lines[k + 1 : k + 2]:
                     if len(other) < 45 and _CAPITAL.match(other.strip()) and not _AUTHOR.match(other) and not PAGE.match(other) and len(other.split()) < 6:
-                        terms.append("#" + head_key(other))
+                        heads.append(head_key(other))
+    return heads
+
+
+def count_terms(text: str) -> list[str]:
+    """Terms of the counting pass: words, "ending ending" of neighbours, and "#" + running heads."""
+    words = _WORDS.findall(text.lower())
+    terms = words + [f"{a[-2:]} {b[-2:]}" for a, b in zip(words, words[1:])]
+    terms += ["#" + h for h in running_heads(text)]
     return terms
 
 
+def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool]) -> set[str]:
+    """What ``judge`` may look up in vain for these lines: words with their deletes, and "#" + heads with theirs; of them those that ``may`` be known."""
+    words, odd, exact, heads = set(), set(), set(), set()
+    shown = [x.strip() for x in lines if x.strip()]
+    tokens = [[m.group().strip("'’") for m in _TOKEN.finditer(x)] for x in shown]
+    measure = max((len(x.rstrip()) for x in lines), default=0)
+    full = [len(x) > 0.8 * measure and len(x) > 45 for x in shown]  # never furniture
+    for k, line in enumerate(shown):
+        if not full[k]:
+            m = _AT_EDGE.match(line)
+            heads |= {head_key(line), head_key(m.group("t1") or m.group("t2") or m.group("t3")) if m else ""}
+        for token in tokens[k]:
+            if token.lower() in lexicon.words:
+                continue
+            for t in (token, token[:-1]) if token[-1:] in HYPHENS else (token,):
+                (odd if _FOREIGN.search(t) else words).update(_spellings(t))
+        if tokens[k] and line.endswith(tokens[k][-1]):
+            tail = tokens[k][-1]
+            broken = tail[-1:] in HYPHENS
+            tail = tail[:-1] if broken else tail
+            for after in range(k + 1, len(shown)):  # the next line that isn't furniture
+                head = tokens[after][0] if tokens[after] else ""
+                if broken and head and (tail + head).lower() not in lexicon.words:
+                    words |= {x for a in _spellings(tail) for b in _spellings(head) for x in (a + b, f"{a}-{b}")}
+                elif head and tail.lower() not in lexicon.words and head not in lexicon.words:
+                    exact.add((tail + head).lower())
+                if full[after] or after > k + 8:
+                    break
+    keys = {k for k in exact if k not in lexicon.words and may(k)}
+    for w in words | odd:
+        if w not in lexicon.words and _CYR.search(w):
+            keys.update(p for p in (w, *w.split("-"), *_confused(w)) if p and may(p))
+            if w in odd and len(w) > 2:
+                keys.update(filter(may, _deletes(w)))
+    for h in heads - lexicon.heads - {""}:
+        if len(h) <= 61:  # no running head is longer
+            keys.update(d for d in ("#" + h, *(["#" + d for d in _deletes(h)] if len(h) > 5 else ())) if may(d))
+    return keys
+
+
+def _bits(rest: DataFrame) -> tuple[bytes, int]:
+    """One bit for each hash of a key of ``rest``: what isn't set is no key. Only saves rows, so its size needn't grow for ever."""
+    width = min(26, max(16, (64 * rest.count()).bit_length()))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << width, dtype=bool)
+        for b in batches:
+            bits[[zlib.crc32(k.encode()) >> (32 - width) for k in b["key"]]] = True
+        yield pd.DataFrame([(zlib.compress(np.packbits(bits).tobytes(), 1),)], columns=["bits"])
+
+    out = np.zeros(1 << (width - 3), dtype=np.uint8)
+    for r in _keyed(rest).select("key").coalesce(16).mapInPandas(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
+    return out.tobytes(), width
+
+
+def _may(bits: bytes, width: int) -> Callable[[str], bool]:
+    def may(key: str) -> bool:
+        at = zlib.crc32(key.encode()) >> (32 - width)
+        return bool(bits[at >> 3] & (128 >> (at & 7)))
+
+    return may
+
+
+def _confused(word: str) -> list[str]:
+    """The words for which this one is misread by one known confusion."""
+    return [word[:i] + x + word[i + 1 :] for i, c in enumerate(word) for x in _BACK.get(c, "")]
+
+
+def _spellings(token: str) -> set[str]:
+    plain = token.translate(_HOMOGLYPH).lower()
+    return {token.lower(), plain, *(restored(token) if _FOREIGN.search(token) or re.search("ьі|Јі|іо", token, re.I) else ())}
+
+
+def _keyed(terms: DataFrame) -> DataFrame:
+    """(key, term, docs): each term by itself and by its deletes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, t, n) for t, n in zip(b["term"], b["docs"]) for k in ({t} | ({"#" + d for d in _deletes(t[1:])} if t[0] == "#" else _deletes(t) if len(t) > 2 else set()))]
+            yield pd.DataFrame(rows, columns=["key", "term", "docs"])
+
+    return terms.mapInPandas(run, "key string, term string, docs long")
+
+
+def _rest(terms: DataFrame, lexicon: Lexicon, given: set[str]) -> DataFrame:
+    """The terms below the share without forms that are one known confusion away from a more frequent or a given word.
+
+    Misread forms recur as the collection grows, so in these, unlike the frequent words, a count is no evidence of a word.
+    """
+    shared = terms.sparkSession.sparkContext.broadcast((lexicon.words, given))
+
+    def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, fixed = shared.value
+        for b in batches:
+            rows = [(t, n) for t, n in zip(b["term"], b["docs"]) if t[0] == "#" or t in fixed or not any(c in fixed or known.get(c, 0) > n for c in _confused(t))]
+            yield pd.DataFrame(rows, columns=["term", "docs"])
+
+    def rights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, t, n) for t, n in zip(b["term"], b["docs"]) if t[0] != "#" and t not in shared.value[1] for c in _confused(t)]
+            yield pd.DataFrame(rows, columns=["term", "wrong", "times"])
+
+    right = terms.select("term", "docs").mapInPandas(rights, "term string, wrong string, times long")
+    wrong = right.join(terms, "term").where("docs > times").select(F.col("wrong").alias("term")).distinct()
+    return checkpointed(terms.join(wrong, "term", "left_anti").select("term", "docs").mapInPandas(sound, "term string, docs long"))
+
+
 def corpus_lexicon(docs: DataFrame, words: DataFrame | None = None, text_col: str = "text", word_col: str = "word") -> Lexicon:
-    """The lexicon of a collection: every text is counted; kept are the words, bigrams and heads of a fixed share of it."""
+    """The lexicon of a collection: every text is counted; words, bigrams and heads of a fixed share of it are sent to the tasks, rarer words and heads stay a table."""
     n = docs.agg(F.count(F.col(text_col))).first()[0]
-    counted = term_frequencies(docs, text_col, count_terms)
     is_bigram, is_head = F.col("term").contains(" ") & ~F.col("term").startswith("#"), F.col("term").startswith("#")
-    least = max(LEXICON_LEAST, LEXICON_SHARE * n)
-    kept = counted.where(F.when(is_head, F.col("docs") >= max(HEAD_LEAST, HEAD_SHARE * n)).when(is_bigram, F.col("n") >= max(3, BIGRAM_SHARE * n)).otherwise(F.col("docs") >= least)).collect()
+    least, least_head = max(LEXICON_LEAST, LEXICON_SHARE * n), max(HEAD_LEAST, HEAD_SHARE * n)
+    counted = term_frequencies(docs, text_col, count_terms).where(
+        F.when(is_head, F.col("docs") >= HEAD_LEAST).when(is_bigram, F.col("n") >= max(3, BIGRAM_SHARE * n)).otherwise(F.col("docs") >= LEXICON_LEAST)
+    )
+    all_sent = least <= LEXICON_LEAST and least_head <= HEAD_LEAST
+    if not all_sent:
+        counted = checkpointed(counted)
+    sent = F.when(is_head, F.col("docs") >= least_head).when(is_bigram, True).otherwise(F.col("docs") >= least)
+    kept = counted.where(sent).collect()
     lexicon = {r.term: r.docs for r in kept if " " not in r.term and r.term[0] != "#"}
     if words is not None:
         rows = words.select(F.lower(word_col).alias("w")).where("w is not null and w rlike '^[а-яё-]+$'").distinct().limit(MAX_WORDS + 1).collect()
@@ -411,7 +559,10 @@ def corpus_lexicon(docs: DataFrame, words: DataFrame | None = None, text_col: st
     for w in [w for w in lexicon if w not in given and len(w) > 2]:
         if any(d <= 0.5 and probe.words[c] > 8 * probe.words[w] for d, c in probe.look_up(w) if c != w):
             del lexicon[w]
-    return Lexicon(lexicon, {r.term: r.n for r in kept if " " in r.term and r.term[0] != "#"}, [r.term[1:] for r in kept if r.term[0] == "#"])
+    out = Lexicon(lexicon, {r.term: r.n for r in kept if " " in r.term and r.term[0] != "#"}, [r.term[1:] for r in kept if r.term[0] == "#"])
+    if not all_sent:
+        out.rest = _rest(counted.where(~sent), probe, given)
+    return out
 
 
 #: A text with none of these isn't set in lines of one measure: two neighbouring lines of 15 to 100 characters, one Cyrillic.
@@ -424,16 +575,34 @@ def scan_defects(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
     lexicon_ = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = lexicon_.value
         for b in batches:
             out = []
-            for i, t in zip(b["id"], b["text"]):
+            for i, t, more in zip(b["id"], b["text"], b["more"] if "more" in b else [None] * len(b)):
+                known = lexicon_.value
+                if more is not None and len(more):
+                    known = Widened(known, {r["term"]: r["docs"] for r in more if r["term"][0] != "#"}, [r["term"][1:] for r in more if r["term"][0] == "#"])
                 scanned, defects, fixed = judge(t, known)
                 if scanned:
                     out.append((i, [{"line_no": k, "defect": d} for k, d in defects], fixed))
             yield pd.DataFrame(out, columns=["id", "defects", "repaired"])
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may = _may(*bits.value)
+        for b in batches:
+            out = []
+            for i, t in zip(b["id"], b["text"]):
+                lines = [_INVISIBLE.sub("", x).replace("\xa0", " ") for x in t.split("\n")]
+                if is_scanned(lines)[0]:
+                    out.append((i, t, list(_asked(lines, lexicon_.value, may))))
+            yield pd.DataFrame(out, columns=["id", "text", "keys"])
+
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(MAYBE_SCANNED))
+    if lexicon.rest is not None:
+        bits = docs.sparkSession.sparkContext.broadcast(_bits(lexicon.rest))
+        kept = checkpointed(kept.mapInPandas(ask, f"id {id_type}, text string, keys array<string>").withColumn("text_key", F.md5("text")))
+        asked = kept.select("text_key", F.explode("keys").alias("key")).distinct()
+        more = asked.join(_keyed(lexicon.rest), "key").groupBy("text_key").agg(F.collect_set(F.struct("term", "docs")).alias("more"))
+        kept = kept.select("id", "text", "text_key").join(more, "text_key", "left").select("id", "text", "more")
     return kept.mapInPandas(run, f"id {id_type}, defects array<struct<line_no: int, defect: string>>, repaired string").withColumnRenamed("id", id_col)
 
 

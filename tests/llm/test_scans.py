@@ -63,3 +63,22 @@ def test_operator(spark):
     got = S.damaged_lines(S.scan_defects(docs, lx))
     assert got.where("doc_id = 0").count() == 9 and got.count() == 54  # a misread form as frequent as the right one is a word
     assert S.scan_defects(docs.where("false"), S.corpus_lexicon(docs.where("false"), words)).count() == 0
+
+
+def test_heads_repeated_in_one_text(lexicon):
+    text = TEXT.replace("ТРОПИНКА", "Лесные голоса")
+    assert [d for d in S.judge(text, lexicon)[1] if d[1] == "furniture"] == [(k, "furniture") for k in (1, 2, 8, 9)]
+
+
+def test_below_the_share(spark, monkeypatch):
+    """Words and heads of a few documents are known whatever the size of the collection."""
+    text = TEXT.replace("ТРОПИНКА\n— 144 —\n", "").replace("ТРОПИНКА", "Лесные голоса")
+    docs = spark.createDataFrame([(k, text) for k in range(6)] + [(7, text.replace("старик", "стaрuк"))] + [(100 + k, f"Поле {k}") for k in range(20)], "doc_id long, text string")
+    few = S.corpus_lexicon(docs)
+    whole = sorted(map(str, S.scan_defects(docs, few).collect()))
+    assert few.rest is None and "лесные голоса" in few.heads and len(whole) == 7 and "broken_word" in whole[0]
+    monkeypatch.setattr(S, "LEXICON_SHARE", 0.9)
+    monkeypatch.setattr(S, "HEAD_SHARE", 0.9)
+    lx = S.corpus_lexicon(docs)
+    assert not lx.words and not lx.heads
+    assert sorted(map(str, S.scan_defects(docs, lx).collect())) == whole
