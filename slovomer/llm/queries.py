@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,21 @@ def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return _scans(spark, folder).select("doc_id", F.size("defects").alias("defects"), "repaired")
 
 
+def _corpus_scans(spark: SparkSession, folder: str, corpus: str, id_col: str) -> DataFrame:
+    rows = _t(spark, folder, corpus)
+    found = scans.scan_defects(rows, scans.corpus_lexicon(rows, _t(spark, folder, "lexicon")), id_col)
+    return found.select(id_col, F.size("defects").alias("defects"), "repaired")
+
+
+def p2_primer_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _corpus_scans(spark, folder, "primer_records", "rec_id")
+
+
+def p2_works_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Works have no number of a delivery: one row for each row of a file."""
+    return _corpus_scans(spark, folder, "works_records", "file")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     tasks = _t(spark, folder, "seg_tasks").select("doc_id").where("doc_id is not null").distinct()
     docs = _t(spark, folder, "documents").select("doc_id", "text").join(tasks, "doc_id", "left_semi")
@@ -81,6 +97,20 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalise_lookalikes(_t(spark, folder, "documents")).select("doc_id", "form", "look_key")
 
 
+def _corpus_forms(spark: SparkSession, folder: str, corpus: str, id_col: str, fields: tuple[str, ...]) -> DataFrame:
+    rows = _t(spark, folder, corpus)
+    forms = [lookalikes.normalise_lookalikes(rows, id_col, f).select(id_col, F.lit(f).alias("field"), "form", "look_key") for f in fields]
+    return reduce(DataFrame.unionByName, forms)
+
+
+def p5_primer_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return _corpus_forms(spark, folder, "primer_records", "rec_id", ("text", "type", "category", "subject"))
+
+
+def p5_works_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return _corpus_forms(spark, folder, "works_records", "file", ("text", "type", "source", "subject", "topic"))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_statistics(_t(spark, folder, "documents"), _t(spark, folder, "common_words"))
 
@@ -146,7 +176,7 @@ def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_found, p2_repaired, p3_found, p3_units, p4_found, p4_terms, p5_found, p5_forms, p6_found, p6_statistics,
+        p1_found, p1_sample, p1_report, p2_found, p2_repaired, p2_primer_repaired, p2_works_repaired, p3_found, p3_units, p4_found, p4_terms, p5_found, p5_forms, p5_primer_forms, p5_works_forms, p6_found, p6_statistics,
         p7_found, p7_levels, p8_found, p8_containers, p8_fill, p9_found, p9_uses, p9_shares, p10_found, p10_repaired,
     )
 }
