@@ -184,7 +184,10 @@ def sample_to_targets(rows: DataFrame, plans: DataFrame, targets: DataFrame, see
     available, drawn, share, drawn_share, met (False where the records can't meet the target).
     """
     spark = rows.sparkSession
-    size_of = {r.plan_id: r.sample_size or 0 for r in plans.select("plan_id", "sample_size").where("plan_id is not null").distinct().limit(MAX_TARGETS).collect()}
+    plan_rows = plans.select("plan_id", "sample_size").where("plan_id is not null").distinct().limit(MAX_TARGETS + 1).collect()
+    if len(plan_rows) > MAX_TARGETS:
+        raise ValueError("too many plans for the driver")
+    size_of = {r.plan_id: r.sample_size or 0 for r in plan_rows}
     cell_rows = targets.select("plan_id", "target_id", "type", "year_from", "year_to", "category", "share", "min_records").where("plan_id is not null and target_id is not null").distinct().limit(MAX_TARGETS + 1).collect()
     if len(cell_rows) > MAX_TARGETS:
         raise ValueError("too many targets for the driver")

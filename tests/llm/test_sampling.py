@@ -86,3 +86,12 @@ def test_empty(spark):
     assert sample.count() == 0 and Counter(r.met for r in report.collect()) == {False: 4, True: 1}
     sample, report = S.sample_to_targets(df, plans.where("false"), targets.where("false"))
     assert sample.count() == 0 and report.count() == 0
+
+
+def test_too_many_plans(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_TARGETS", 2)
+    plans = spark.createDataFrame([(k, 5) for k in range(3)], "plan_id int, sample_size long")
+    rows = spark.read.parquet("/root/testdata/sf0.001/primer_records.parquet")
+    targets = spark.read.parquet("/root/testdata/sf0.001/sample_targets.parquet").limit(1)
+    with pytest.raises(ValueError, match="plans"):
+        S.sample_to_targets(rows, plans, targets)
