@@ -29,6 +29,8 @@ import zlib
 from collections import ChainMap, Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import combinations, product
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -57,12 +59,23 @@ _BACK: dict[str, str] = defaultdict(str)
 for _right, _wrongs in CONFUSIONS.items():
     for _w in _wrongs:
         _BACK[_w] += _right
+#: Signs that stand for one of several letters, and each such letter's sign; spellings of a token are listed up to MANY, beyond they are found by shape.
+_SEVERAL = {w: r for w, r in _BACK.items() if len(r) > 1 and not "а" <= w <= "ё"}
+_SIGN = {c: w for w, r in _SEVERAL.items() for c in r}
+MANY = 16
+#: Misread letters of an all-Cyrillic word: two from this length, three from twice as many letters.
+LETTERS_OF_TWO = 6
+#: Length from which a known confusion and one other substitution are repaired together.
+LETTERS_OF_ANY = 10
+#: The widest line of a page; a wider one is of no scan.
+WIDEST = 100
 _HOMOGLYPH = str.maketrans("aceopxyiABCEHKMOPTXëËïoοα", "асеорхуіАВСЕНКМОРТХёЁїооа")
 _CYR = re.compile("[а-яё]", re.I)
 _WORDS = re.compile("[а-яё]+(?:-[а-яё]+)*")
 _NUMBER = r"[0-9lIОоO|ЗзбБSB]"
 PAGE = re.compile(rf"^\s*(?:(?:[-—–·•\[(]\s*)?(?=[^\s]*[0-9lI]){_NUMBER}{{1,4}}\s*(?:[*\])]|[-—–·•])?|[сc][тm][рp]\.\s*{_NUMBER}{{1,4}})\s*$")
 _AT_EDGE = re.compile(rf"^\s*(?:(?P<a>(?:[-—–·•\[]\s?)?(?=[^\s]*[0-9lI]){_NUMBER}{{1,4}}(?:\s?[-—–·•]|[*\]])?)\s{{2,}}(?P<t1>\S.*?)|(?P<t2>\S.*?)\s{{2,}}(?P<b>(?:[-—–·•\[]\s?|стр\. ?)?(?=[^\s]*[0-9lI]){_NUMBER}{{1,4}}(?:\s?[-—–·•]|[*\]])?)|(?:стр\. ?)(?P<c>{_NUMBER}{{1,4}})\s{{2,}}(?P<t3>\S.*?))\s*$")
+_GAP_INSIDE = re.compile(r"\s\s|стр")
 _AUTHOR = re.compile(r"^\s*[А-ЯЁ]\.\s?(?:[А-ЯЁ]\.\s?)?[А-ЯЁA-Z0-9|][^\s.,!?]{3,}\.?\s*$")
 _BROKEN = re.compile(rf"[^\W\d_][0-9A-Za-zЀ-ӿ|<■^~°*]*[{HYPHENS}]\s*$")
 _INVISIBLE = re.compile("[​‌‍⁠﻿‎‏]")
@@ -70,29 +83,40 @@ _TOKEN = re.compile(r"[^\s.,!?…:;«»„“”\"()\[\]—–/]+")
 _FOREIGN = re.compile("[A-Za-z0-9" + re.escape(STRAY) + "]")
 
 
+_MARK = re.compile(r"^\s*(?:[-—–·\[]\s?\d+\s?[-—–·\]]|стр\. \d+|\d+\*)\s*$")
+_ODD_SIGN = re.compile(r"[а-яё](?:[0-9mugrn^~■°*|]|JI)[а-яё]")
+_END = re.compile(r"[.!?…][»”\")]*$")
+
+
 def head_key(line: str) -> str:
     """A title line by its letters only, in one case."""
     return re.sub("[^а-яё]+", " ", line.translate(_HOMOGLYPH).lower()).strip()
 
 
+def _at_edge(line: str) -> re.Match | None:
+    return _AT_EDGE.match(line) if _GAP_INSIDE.search(line) else None
+
+
 def is_scanned(lines: list[str]) -> tuple[bool, int]:
     """Whether a text's lines are set to one measure: where a line ends, the next word didn't fit. And the number of such ends."""
     body = [x.rstrip() for x in lines]
     widths = [len(x) for x in body if x]
-    if len(widths) < 2 or not 20 <= max(widths) <= 100:
+    if len(widths) < 2 or not 20 <= max(widths) <= WIDEST:
         return False, 0
     text = "".join(body)
     if 2 * len(_CYR.findall(text)) < len(text.replace(" ", "")):
         return False, 0
-    measure = max((len(a) for a, b in zip(body, body[1:]) if b and not PAGE.match(a)), default=0)
+    page = [bool(PAGE.match(x)) for x in body]
+    edge = [bool(_at_edge(x)) for x in body]
+    measure = max((len(a) for a, b, p in zip(body, body[1:], page) if b and not p), default=0)
     fits = full = broken = 0
-    for a, b in zip(body, body[1:]):
-        if not a or not b or PAGE.match(a) or PAGE.match(b) or b.startswith("  ") or _AT_EDGE.match(a) or _AT_EDGE.match(b):
+    for k, (a, b) in enumerate(zip(body, body[1:])):
+        if not a or not b or page[k] or page[k + 1] or b.startswith("  ") or edge[k] or edge[k + 1]:
             continue
-        if _BROKEN.search(a):
+        if a[-1] in HYPHENS and _BROKEN.search(a):
             broken += 1
             continue
-        if re.search(r"[.!?…][»”\")]*$", a) and len(a) < 0.75 * measure:
+        if len(a) < 0.75 * measure and _ended(a):
             continue  # the last line of a paragraph
         if len(a) < 0.4 * measure and a[:1].isupper():
             continue  # a title
@@ -101,8 +125,8 @@ def is_scanned(lines: list[str]) -> tuple[bool, int]:
             full += 1
         else:
             fits += 1
-    marks = sum(bool(re.match(r"^\s*(?:[-—–·\[]\s?\d+\s?[-—–·\]]|стр\. \d+|\d+\*)\s*$", x) or _AT_EDGE.match(x)) for x in body)
-    odd = len(re.findall(r"[а-яё](?:[0-9mugrn^~■°*|]|JI)[а-яё]", text))
+    marks = sum(e or bool(_MARK.match(x)) for x, e in zip(body, edge))
+    odd = len(_ODD_SIGN.findall(text))
     share = full / (full + fits) if full + fits else 0.0
     if share >= 0.7 and full >= 1:
         return True, full + broken
@@ -119,6 +143,10 @@ class Lexicon:
             if len(w) > 2:
                 for d in {w[:i] + w[i + 1 :] for i in range(len(w))}:
                     self.deletes[d].append(w)
+        self.shapes: dict[str, list[str]] = defaultdict(list)
+        for w in words:
+            if x := _shape(w):
+                self.shapes[x].append(w)
         self.heads = {h for h in heads if h}
         self.head_deletes = {d for h in self.heads for d in _deletes(h)}
         self.look_up = lru_cache(maxsize=1 << 16)(self._look_up)
@@ -143,13 +171,26 @@ class Lexicon:
 
     def repair(self, word: str, before: str = "", limit: float = 0.5) -> str | None:
         """The word that a misread Cyrillic word stands for, if one is near enough by the known confusions."""
-        found = [c for c in self.look_up(word) if c[0] <= limit]
+        found = [c for c in self.look_up(word) if c[0] <= limit] or [(n, w) for n, w in several_confused(word) if w in self.words]
+        if not found and len(word) >= LETTERS_OF_ANY:
+            found = sorted((1.3, w) for x in _confused(word) for d, w in self.look_up(x) if d == 1.0 and len(w) == len(word))
         if not found:
             return None
         best = found[0][0]
         ties = [w for d, w in found if d == best]
         return max(ties, key=lambda w: (self.bigrams.get(f"{before[-2:]} {w[-2:]}", 0), self.words[w], w))
 
+    def spellings(self, token: str) -> list[str]:
+        """Cyrillic spellings of a token with wrong signs: all of them, or of too many to list those that are words, and the plain one."""
+        options = _options(token)
+        if prod(map(len, options)) <= MANY:
+            return ["".join(x) for x in product(*options)]
+        plain = "".join(o[0] for o in options)
+        return [w for w in self.of_shape(_shape(plain)) if all(c in o for c, o in zip(w, [o for o in options if o != [""]]))] + [plain]
+
+    def of_shape(self, shape: str) -> list[str]:
+        return self.shapes.get(shape, [])
+
     def is_head(self, line: str) -> bool:
         key = head_key(line)
         return bool(key) and (key in self.heads or len(key) > 5 and (key in self.head_deletes or not self.head_deletes.isdisjoint(_deletes(key))))
@@ -167,6 +208,9 @@ class Widened(Lexicon):
             return self.base.look_up(word)
         return tuple(sorted({*self.base.look_up(word), *self.own._look_up(word)}, key=lambda c: (c[0], -self.words[c[1]], c[1])))
 
+    def of_shape(self, shape: str) -> list[str]:
+        return self.base.of_shape(shape) + self.own.of_shape(shape)
+
     def is_head(self, line: str) -> bool:
         return self.base.is_head(line) or self.own.is_head(line)
 
@@ -192,35 +236,54 @@ def distance(right: str, wrong: str) -> float:
     return 1.0 if len(x) + len(y) == 1 else 2.0
 
 
-def restored(token: str) -> list[str]:
-    """Cyrillic spellings of a token that holds signs of other scripts, digits or stray marks; at most 16."""
+def several_confused(word: str) -> Iterator[tuple[int, str]]:
+    """(number, word) for which this one is misread by two known confusions, or by three if it is long; fewest first."""
+    at = [i for i, c in enumerate(word) if c in _BACK]
+    for n in range(2, 1 + (len(word) >= LETTERS_OF_TWO) + (len(word) >= 2 * LETTERS_OF_TWO)):
+        for places in combinations(at, n):
+            for right in product(*(_BACK[word[i]] for i in places)):
+                letters = list(word)
+                for i, c in zip(places, right):
+                    letters[i] = c
+                yield n, "".join(letters)
+
+
+def _options(token: str) -> list[list[str]]:
+    """What each sign of a token may stand for in Cyrillic, once its ligatures are taken apart."""
     t = token
     for wrong, right in LIGATURES:
         t = t.replace(wrong, right)
-    out = [""]
+    out = []
     for c in t:
         low = c.lower()
-        plain = c.translate(_HOMOGLYPH).lower()
         if c in STRAY:
-            options = [""]
+            out.append([""])
         elif c in _BACK and not _CYR.match(c):
-            options = list(_BACK[c])
+            out.append(list(_BACK[c]))
         elif low in _BACK and not _CYR.match(c):
-            options = list(_BACK[low])
+            out.append(list(_BACK[low]))
         else:
-            options = [plain]
-        out = [o + x for o in out for x in options][:16]
+            out.append([c.translate(_HOMOGLYPH).lower()])
     return out
 
 
+def _shape(word: str) -> str:
+    """A word with each letter that shares its sign with others replaced by that sign, if it has so many that not all its spellings are listed; else empty."""
+    if prod(len(_SEVERAL[_SIGN[c]]) for c in word if c in _SIGN) <= MANY:
+        return ""
+    return "".join(_SIGN.get(c, c) for c in word)
+
+
+_NUMBERED = re.compile(r"\d+-?[а-яё]{1,3}|\d+[а-яё]{1,4}|[а-яёА-ЯЁ]{1,3}\d{1,4}")
+_TWO_SIGNS = re.compile("ьі|ЈІ|іо")
+
+
 def misread(token: str, lexicon: Lexicon, before: str = "") -> str | None:
     """The right spelling of a token with a wrongly recognised or stray character; None for a sound one."""
-    if not _CYR.search(token):
-        if token.isdigit() or token.isascii() and not re.search("[0-9]", token):
-            return None
+    if token.lower() in lexicon.words or not _CYR.search(token):
         return None
     token = token.strip("'’")
-    if re.fullmatch(r"\d+-?[а-яё]{1,3}|\d+[а-яё]{1,4}", token) or re.fullmatch(r"[а-яё]{1,3}\d{1,4}", token, re.I):
+    if _NUMBERED.fullmatch(token):
         return None
     core = token
     if not _FOREIGN.search(core):
@@ -229,12 +292,12 @@ def misread(token: str, lexicon: Lexicon, before: str = "") -> str | None:
             return None
         return lexicon.repair(word, before)
     plain = core.translate(_HOMOGLYPH)
-    if not _FOREIGN.search(plain) and not re.search("ьі|ЈІ|іо", plain):
+    if not _FOREIGN.search(plain) and not _TWO_SIGNS.search(plain):
         word = plain.lower()  # only look-alike letters: nothing that looks different
         if lexicon.knows(word) or len(word) < 3:
             return None
         return lexicon.repair(word, before)
-    options = restored(core)
+    options = lexicon.spellings(core)
     for o in options:
         if lexicon.knows(o):
             return o
@@ -242,7 +305,7 @@ def misread(token: str, lexicon: Lexicon, before: str = "") -> str | None:
         if r := lexicon.repair(o, before, 1.0):
             return r
     letters = sum(bool(_CYR.match(c)) for c in core)
-    return options[0] if letters >= 2 and 2 * letters >= len(core) else None
+    return options[-1 if len(options) > MANY else 0] if letters >= 2 and 2 * letters >= len(core) else None
 
 
 def judge(text: str | None, lexicon: Lexicon) -> tuple[bool, list[tuple[int, str]], str | None]:
@@ -266,7 +329,7 @@ def judge(text: str | None, lexicon: Lexicon) -> tuple[bool, list[tuple[int, str
         line = lines[k]
         if furniture[k] or len(line.strip()) > 0.8 * measure and len(line.strip()) > 45:
             continue
-        if (m := _AT_EDGE.match(line)) and (title := m.group("t1") or m.group("t2") or m.group("t3")) and (lexicon.is_head(title) or _AUTHOR.match(title) or title.isupper() or len(title.split()) <= 5 and title[:1].isupper()):
+        if (m := _at_edge(line)) and (title := m.group("t1") or m.group("t2") or m.group("t3")) and (lexicon.is_head(title) or _AUTHOR.match(title) or title.isupper() or len(title.split()) <= 5 and title[:1].isupper()):
             furniture[k] = True
             continue
         i = place[k]
@@ -303,7 +366,7 @@ def judge(text: str | None, lexicon: Lexicon) -> tuple[bool, list[tuple[int, str
         # words of this line; halves are judged on the whole word
         fixed: dict[str, str] = {}
         before = ""
-        odd = 0
+        odd = unread = 0
         whole = None
         for j, token in enumerate(tokens):
             if j == 0 and carry:
@@ -325,10 +388,11 @@ def judge(text: str | None, lexicon: Lexicon) -> tuple[bool, list[tuple[int, str
                 right = ""
             if right is not None:
                 odd += 1
+                unread += bool(right) and not lexicon.knows(right)
                 fixed[token] = _cased(token, right)
             before = (right or token).lower()
-        if odd and 2 * odd > len(tokens) and len(tokens) > 3:
-            fixed = {}  # the line is garbled in some other way
+        if len(tokens) > 3 and 2 * odd > len(tokens) and 2 * unread > odd:
+            fixed = {}  # most of it reads as nothing: the line is garbled in some other way
         elif odd:
             bad.add(k)
         done = _TOKEN.sub(lambda m: fixed.get(m.group(), fixed.get(m.group()[:-1], m.group())), stripped) if fixed else stripped
@@ -351,7 +415,7 @@ def judge(text: str | None, lexicon: Lexicon) -> tuple[bool, list[tuple[int, str
 
 
 def _ended(text: str) -> bool:
-    return bool(re.search(r"[.!?…][»”\")]*$", text))
+    return bool(_END.search(text[-8:]))
 
 
 def _cased(token: str, right: str) -> str:
@@ -370,13 +434,10 @@ def _mend(a: str, b: str, lexicon: Lexicon, before: str) -> tuple[str, bool, boo
         return f"{a}-{b}", False, False
     odd_a, odd_b = (bool(_FOREIGN.search(x.translate(_HOMOGLYPH))) or "ЈІ" in x for x in (a, b))
     if odd_a or odd_b:
-        for x in restored(a):
-            for y in restored(b):
-                if lexicon.knows(x + y):
-                    return _cased(a, x + y), odd_a, odd_b
-                if f"{x}-{y}" in lexicon.words:
-                    return _cased(a, f"{x}-{y}"), odd_a, odd_b
-        x, y = restored(a)[0], restored(b)[0]
+        for w in (*lexicon.spellings(a + b), *lexicon.spellings(f"{a}-{b}")):
+            if w in lexicon.words or "-" not in w and lexicon.knows(w):
+                return _cased(a, w), odd_a, odd_b
+        x, y = ("".join(o[0] for o in _options(h)) for h in (a, b))
         if right := lexicon.repair(x + y, before):
             at = next((i for i, (p, q) in enumerate(zip(right, x + y)) if p != q), len(right))
             return _cased(a, right), odd_a or at < len(x), odd_b or at >= len(x)
@@ -404,9 +465,9 @@ def running_heads(text: str) -> list[str]:
     if "\n" in text and any(map(str.isdigit, text)):
         lines = [x for x in text.split("\n") if x and not x.isspace()]
         for k, line in enumerate(lines):
-            if len(line) > 60:
+            if len(line) > WIDEST:
                 continue
-            if m := _AT_EDGE.match(line):
+            if m := _at_edge(line):
                 title = m.group("t1") or m.group("t2") or m.group("t3")
                 if _CAPITAL.match(title):
                     heads.append(head_key(title))
@@ -420,22 +481,28 @@ def running_heads(text: str) -> list[str]:
 def count_terms(text: str) -> list[str]:
     """Terms of the counting pass: words, "ending ending" of neighbours, and "#" + running heads."""
     words = _WORDS.findall(text.lower())
-    terms = words + [f"{a[-2:]} {b[-2:]}" for a, b in zip(words, words[1:])]
-    terms += ["#" + h for h in running_heads(text)]
-    return terms
+    ends = [w[-2:] for w in words]
+    return [*words, *map(" ".join, zip(ends, ends[1:])), *("#" + h for h in running_heads(text))]
 
 
 def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool]) -> set[str]:
     """What ``judge`` may look up in vain for these lines: words with their deletes, and "#" + heads with theirs; of them those that ``may`` be known."""
-    words, odd, exact, heads = set(), set(), set(), set()
+    words, odd, exact, keys = set(), set(), set(), set()
     shown = [x.strip() for x in lines if x.strip()]
     tokens = [[m.group().strip("'’") for m in _TOKEN.finditer(x)] for x in shown]
     measure = max((len(x.rstrip()) for x in lines), default=0)
-    full = [len(x) > 0.8 * measure and len(x) > 45 for x in shown]  # never furniture
+    page, aside = [], []  # page numbers; lines that may be other furniture
+    for line in shown:
+        page.append(bool(PAGE.match(line)))
+        if page[-1] or len(line) > 0.8 * measure and len(line) > 45:
+            aside.append(False)
+            continue
+        m = _at_edge(line)
+        heads = {head_key(line), head_key(m.group("t1") or m.group("t2") or m.group("t3")) if m else ""} - lexicon.heads - {""}
+        known = {d for h in heads if len(h) <= WIDEST + 1 for d in ("#" + h, *(["#" + d for d in _deletes(h)] if len(h) > 5 else ())) if may(d)}
+        keys |= known
+        aside.append(bool(m or known or line.isupper() or _AUTHOR.match(line) or lexicon.is_head(line)))
     for k, line in enumerate(shown):
-        if not full[k]:
-            m = _AT_EDGE.match(line)
-            heads |= {head_key(line), head_key(m.group("t1") or m.group("t2") or m.group("t3")) if m else ""}
         for token in tokens[k]:
             if token.lower() in lexicon.words:
                 continue
@@ -446,22 +513,25 @@ def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool]) -> se
             broken = tail[-1:] in HYPHENS
             tail = tail[:-1] if broken else tail
             for after in range(k + 1, len(shown)):  # the next line that isn't furniture
+                if page[after]:
+                    continue
                 head = tokens[after][0] if tokens[after] else ""
                 if broken and head and (tail + head).lower() not in lexicon.words:
                     words |= {x for a in _spellings(tail) for b in _spellings(head) for x in (a + b, f"{a}-{b}")}
                 elif head and tail.lower() not in lexicon.words and head not in lexicon.words:
                     exact.add((tail + head).lower())
-                if full[after] or after > k + 8:
+                if not aside[after]:
                     break
-    keys = {k for k in exact if k not in lexicon.words and may(k)}
+    keys |= {k for k in exact if k not in lexicon.words and may(k)}
     for w in words | odd:
         if w not in lexicon.words and _CYR.search(w):
-            keys.update(p for p in (w, *w.split("-"), *_confused(w)) if p and may(p))
+            keys.update(p for p in (w, *w.split("-"), *_confused(w), *(x for _, x in several_confused(w))) if p and may(p))
+            if x := _shape(w):
+                keys.update(filter(may, ("~" + x,)))
             if w in odd and len(w) > 2:
                 keys.update(filter(may, _deletes(w)))
-    for h in heads - lexicon.heads - {""}:
-        if len(h) <= 61:  # no running head is longer
-            keys.update(d for d in ("#" + h, *(["#" + d for d in _deletes(h)] if len(h) > 5 else ())) if may(d))
+            elif len(w) >= LETTERS_OF_ANY:
+                keys.update(filter(may, (d for x in _confused(w) for d in _deletes(x))))
     return keys
 
 
@@ -496,7 +566,13 @@ def _confused(word: str) -> list[str]:
 
 def _spellings(token: str) -> set[str]:
     plain = token.translate(_HOMOGLYPH).lower()
-    return {token.lower(), plain, *(restored(token) if _FOREIGN.search(token) or re.search("ьі|Јі|іо", token, re.I) else ())}
+    return {token.lower(), plain, *(_listed(token) if _FOREIGN.search(token) or re.search("ьі|Јі|іо", token, re.I) else ())}
+
+
+def _listed(token: str) -> list[str]:
+    """The spellings of a token, of too many the plain one: the others are asked for by its shape."""
+    options = _options(token)
+    return ["".join(x) for x in (product(*options) if prod(map(len, options)) <= MANY else zip(*(o[:1] for o in options)))]
 
 
 def _keyed(terms: DataFrame) -> DataFrame:
@@ -504,7 +580,7 @@ def _keyed(terms: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, t, n) for t, n in zip(b["term"], b["docs"]) for k in ({t} | ({"#" + d for d in _deletes(t[1:])} if t[0] == "#" else _deletes(t) if len(t) > 2 else set()))]
+            rows = [(k, t, n) for t, n in zip(b["term"], b["docs"]) for k in ({t} | ({"#" + d for d in _deletes(t[1:])} if t[0] == "#" else _deletes(t) | ({"~" + _shape(t)} if _shape(t) else set()) if len(t) > 2 else set()))]
             yield pd.DataFrame(rows, columns=["key", "term", "docs"])
 
     return terms.mapInPandas(run, "key string, term string, docs long")

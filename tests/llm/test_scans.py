@@ -82,3 +82,29 @@ def test_below_the_share(spark, monkeypatch):
     lx = S.corpus_lexicon(docs)
     assert not lx.words and not lx.heads
     assert sorted(map(str, S.scan_defects(docs, lx).collect())) == whole
+
+
+def test_several_misread_letters(lexicon):
+    assert S.misread("иптерпретацпя", lexicon) == "интерпретация" and S.misread("послсдоватсльность", lexicon) == "последовательность"
+    assert S.misread("лсе", lexicon) is None
+
+
+def test_many_signs_of_several_letters():
+    word = "ташотшатштут"
+    lx = S.Lexicon({word: 9, "лес": 9})
+    token = word.replace("т", "m").replace("ш", "m")
+    assert token.count("m") > 4 and S.misread(token, lx) == word and S.misread(token[:3] + "■" + token[3:], lx) == word
+    assert S.misread("m" * 500 + "а" * 500, lx) == "т" * 500 + "а" * 500
+    assert S.Widened(S.Lexicon({"лес": 9}), {word: 5}, []).spellings(token)[0] == word
+
+
+def test_all_odd_line(lexicon):
+    text = TEXT.replace("старик купил кра■сную", "сmарик куп■ил кра■сную шаn■ку")
+    scanned, defects, fixed = S.judge(text, lexicon)
+    assert (11, "misread") in defects and "старик купил красную шапку" in fixed
+
+
+def test_wide_heads():
+    head = "О чём рассказывала мельница старому рыбаку у реки за лесом"
+    wide = f"{head}  у дома   144"
+    assert 60 < len(wide) <= 100 and S.running_heads(wide + "\nЛес") == [S.head_key(head + " у дома")]
