@@ -2,32 +2,37 @@
 
 Method: the boundary rules are compiled into a finite transducer.  Its input
 symbols are the few characters that can open, close or end a sentence unit, each
-classified by a bounded context (``LEFT`` characters before, ``RIGHT`` behind); its
+classified by a bounded context (``LEFT`` characters before its end, ``RIGHT`` behind); its
 states are what is open at that point (nothing, a quotation, a bracket, one inside
-the other); it puts out unit ends.  A long text is cut into chunks.  Each chunk is
-turned, by itself, into its state-transition function and, for every unit end that
-it may put out, the set of entry states for which it does.  The functions of a
-document are composed by prefix scan, and each chunk's entry state picks its ends.
+the other), whether the line began with a dash and whether it holds a tab; it puts out unit
+ends.  A long text is cut into chunks.  Each chunk is turned, by itself, into its
+state-transition function and, for every unit end that it may put out, the set of
+entry states for which it does.  The functions are composed by a prefix scan in two
+levels: those of a block of chunks into one, those of a document's blocks from its start;
+each block is then entered in the right state and picks its ends.
 
 Defined results for odd input: null, empty and blank texts have no unit; a text
 without any stop is one unit; very long texts go through the scan in chunks of
-``CHUNK`` characters; a document id that occurs twice gives its units twice, unless
-the caller removes copies; an empty table gives an empty table; other columns are
-not read.
+``CHUNK`` characters, with the same result as in one piece; a document id that occurs twice
+gives its units twice, unless the caller removes copies; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .lookalikes import look
 
 CHUNK, LEFT, RIGHT = 1 << 15, 48, 48
+#: Chunks whose functions one task composes.
+BLOCK = 64
 
 # Shortened words after which a sentence goes on whatever follows, by language.
 NEVER_LAST = """
@@ -51,8 +56,11 @@ _OPEN = {"«": 1, "„": 2, "“": 2, "(": 3, "[": 3, "（": 3, "「": 4, "『":
 _CLOSE = {"»": (1,), "”": (2, 5), "“": (2,), ")": (3,), "]": (3,), "）": (3,), "」": (4,), "』": (4,), "›": (1,)}
 _REPORTED = 5  # a quotation after a colon, in scripts without case
 
-# States: 0 nothing open; k; or 6 + 5 (outer - 1) + inner - 1 for two.
-N_STATES = 31
+# What is open: 0 nothing; k; or 6 + 5 (outer - 1) + inner - 1 for two.
+N_OPEN = 31
+# States: what is open + N_OPEN (line began with a dash + 2 line holds a tab).
+N_STATES = 4 * N_OPEN
+IN_REPLY, WITH_TAB = N_OPEN, 2 * N_OPEN
 
 
 def _push(state: int, kind: int) -> int:
@@ -70,12 +78,20 @@ def _pop(state: int, kinds: tuple[int, ...]) -> int:
     return outer + 1 if inner + 1 in kinds else 0 if outer + 1 in kinds else state
 
 
-PUSH = {k: [_push(s, k) for s in range(N_STATES)] for k in range(1, 6)}
-POP = {k: [_pop(s, k) for s in range(N_STATES)] for k in {*_CLOSE.values(), (2, 5)}}
+def _table(change) -> bytes:
+    """A change of state as a table for bytes: of (what is open, flags)."""
+    return bytes(change(s % N_OPEN, s - s % N_OPEN) for s in range(N_STATES)) + bytes(range(N_STATES, 256))
+
+
+PUSH = {k: _table(lambda o, f, k=k: f + _push(o, k)) for k in range(1, 6)}
+POP = {k: _table(lambda o, f, k=k: f + _pop(o, k)) for k in {*_CLOSE.values(), (2, 5)}}
+TAB = _table(lambda o, f: o + f % WITH_TAB + WITH_TAB)
+#: A line's end: of a paragraph or only after a tab; the next line begins with a dash or not.
+LINE = {(ends, dash): _table(lambda o, f, ends=ends, dash=dash: (0 if ends or f >= WITH_TAB else o) + IN_REPLY * dash) for ends in (False, True) for dash in (False, True)}
 
 _WIDE = {c: c - 0xFEE0 for c in (*range(0xFF10, 0xFF5F), 0xFF0E)} | {c: 0x20 for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {0xFF01: "!", 0xFF1F: "?", 0xFF61: "。", 0xFF62: "「", 0xFF63: "」"}
 _WIDE |= {c: "\x00" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F)}  # invisible: keeps its place
-_EVENT = re.compile(r"[.!?…։。؟।॥۔！？]+|(?<=[԰-֏]):|\n|[«»„“”\"()\[\]「」『』]|(?<=[฀-๿])[ \x00]+(?=[฀-๿])")
+_EVENT = re.compile(r"[.!?…։。؟।॥۔！？]+|(?<=[԰-֏]):|\n|\t|[«»„“”\"()\[\]「」『』]|(?<=[฀-๿])[ \x00]+(?=[฀-๿])")
 _GAP = re.compile(r"[\s\x00]*")
 _LEAD = re.compile(r"[\s\x00«„“\"(\[「『—–-]*")
 _L = "(?:[^\\W\\d_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0e31-\u0e4e\\x00])"  # a letter or a mark on it
@@ -92,9 +108,8 @@ _THAI_STAYS = re.compile("(?:ฯลฯ|พ\\.ศ|ค\\.ศ)")
 
 def _begins(text: str, at: int) -> bool:
     """Whether what follows may begin a unit: not a small letter, unless capitals follow it (case turned over)."""
-    m = _LEAD.match(text, at)
-    k = m.end()
-    if k >= len(text):
+    k = _LEAD.match(text, at, at + RIGHT - 4).end()
+    if k >= len(text) or k == at + RIGHT - 4:
         return True
     c = text[k]
     if not _CASED_LOWER.match(c):
@@ -106,7 +121,7 @@ def _shortened(text: str, dot: int, after: int) -> bool:
     """Whether the full stop at ``dot`` only marks a shortened word, number or initial."""
     m = _WORD_BEFORE.search(text, max(0, dot - 24), dot)
     if not m:  # a number: goes on before a digit or, as a day, before a month
-        return bool(_MONTHS.match(text, after)) and text[max(0, dot - 1) : dot].isdigit()
+        return bool(_MONTHS.match(text, after, after + RIGHT)) and text[max(0, dot - 1) : dot].isdigit()
     parts = m.group().replace("\x00", "").replace(" ", "").split(".")
     last = parts[-1]
     if len(last) == 1 and _UPPER.match(last):  # an initial
@@ -118,7 +133,7 @@ def _shortened(text: str, dot: int, after: int) -> bool:
             return False
         if pair in _NEVER:
             return True
-    if len(last) == 1 and _SECOND_PART.match(text, after):
+    if len(last) == 1 and _SECOND_PART.match(text, after, after + RIGHT):
         return True
     if short in _AFTER_NUMBER:
         if _NUMBER_BEFORE.search(text, max(0, m.end() - len(last) - 6), m.end() - len(last)):
@@ -135,38 +150,44 @@ def _opens(text: str, at: int) -> bool:
     return bool(after.strip()) and (not before or before.isspace() or before in "(—:「\x00")
 
 
-def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[int, ...] | int, bool]]:
-    """Symbols of the transducer in text[start:end]: (what, position, kind, whether a unit may end).
+STOP, OPEN, CLOSE, NEWLINE, TABULATOR = range(5)
+
+
+def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, object, object]]:
+    """Symbols of the transducer that end in text[start:end]: (what, position, kind, whether a unit may end).
 
-    what: 0 a stop, 1 an opening, 2 a closing, 3 the end of a paragraph.  Positions are ends, exclusive.
+    Positions are ends, exclusive.  A unit may end never, always, if the line didn't begin with a dash ("reply"),
+    or if the quotation was reported after a colon ("cjk").  The kind of a line's end is its table's key.
     """
     n = len(text)
-    done = start
-    for m in _EVENT.finditer(text, start):
+    for m in _EVENT.finditer(text, max(0, start - LEFT)):
         a, b = m.span()
-        if a >= end:
+        if b > end:
             break
-        if a < done:
+        if b <= start:
             continue
+        a = max(a, b - LEFT)  # of a longer run of stops no more is looked at, wherever the chunk begins
         c = text[a]
         if c == "\n":
-            k = _GAP.match(text, b).end()
-            body = text[b:k]
-            if "\n" in body or k >= n or _NEW_ITEM.match(text, b) or "\t" in text[max(0, a - 80) : a].rpartition("\n")[2] or "฀" <= text[max(0, a - 1) : a].strip("\r\x00") <= "๿":
-                yield 3, a, 0, True
+            k = _GAP.match(text, b, b + RIGHT).end()
+            ends = "\n" in text[b:k] or k >= n and k < b + RIGHT or bool(_NEW_ITEM.match(text, b, b + RIGHT)) or "฀" <= text[max(0, a - 1) : a].strip("\r\x00") <= "๿"
+            yield NEWLINE, a, (ends, _dashed(text, b)), ends
+            continue
+        if c == "\t":
+            yield TABULATOR, b, None, False
             continue
         if c == "\"":
             before, after = text[a - 1 : a], text[b : b + 1]
             if (not before or before.isspace() or before in "(—") and not after.isspace():
-                yield 1, b, 2, False
+                yield OPEN, b, 2, False
                 continue
-            yield 2, b, (2,), bool(before) and before in _TERMINALS and _begins(text, b)
+            yield CLOSE, b, (2,), bool(before) and before in _TERMINALS and _begins(text, b)
             continue
         if c in _OPEN and (c != "“" or _opens(text, a)):
             kind = _OPEN[c]
             if kind == 2 and c == "“" and a and text[a - 1] in "：:":
                 kind = _REPORTED
-            yield 1, b, kind, False
+            yield OPEN, b, kind, False
             continue
         if c in _CLOSE:
             kinds = _CLOSE[c]
@@ -179,18 +200,17 @@ def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[i
                 elif _CJK.match(nxt):
                     # author's words follow a quotation that begins its sentence
                     ends = c == "”" and nxt not in "" or c in "」』" and nxt != "と"
-                    yield 2, b, kinds, (ends if c != "”" else "cjk")
+                    yield CLOSE, b, kinds, (ends if c != "”" else "cjk")
                     continue
-                elif _after_dash(text, b):
-                    ends = False
                 else:
-                    ends = _begins(text, b)
-            yield 2, b, kinds, ends
+                    dash = _after_dash(text, b)
+                    ends = dash != "always" and _begins(text, b) and (dash or True)
+            yield CLOSE, b, kinds, ends
             continue
         if c in " \x00":  # a space between Thai words
             around = text[max(0, a - 4) : a], text[b : b + 4]
-            if not _THAI_STAYS.search(around[0]) and not _THAI_STAYS.match(around[1]):
-                yield 0, a, 0, True
+            if b - a < LEFT - 4 and not _THAI_STAYS.search(around[0]) and not _THAI_STAYS.match(around[1]):
+                yield STOP, a, 0, True
             continue
         # a run of stops
         if text[b : b + 1] == "\"" or text[b : b + 1] in _CLOSE and not (text[b] == "“" and _opens(text, b)):
@@ -205,7 +225,7 @@ def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[i
                 continue
             if not _begins(text, b):
                 continue
-        elif set(m.group()) <= {"…", "."}:
+        elif set(text[a:b]) <= {"…", "."}:
             if _CJK.match(nxt) or not _begins(text, b) or nxt in ",;":
                 continue
             if nxt and not nxt.isspace() and nxt != "\x00" and not _UPPER.match(nxt):
@@ -215,22 +235,25 @@ def _events(text: str, start: int, end: int) -> Iterator[tuple[int, int, tuple[i
                 continue
             if c in "!?…." and not _begins(text, b):
                 continue
-        if _after_dash(text, b):
-            continue
-        yield 0, b, 0, True
+        dash = _after_dash(text, b)
+        if dash != "always":
+            yield STOP, b, 0, dash or True
 
 
 _DASH = re.compile(r"[ \x00]+[—–-][ \x00]")
 
 
-def _after_dash(text: str, at: int) -> bool:
-    """Author's words, or a further part of the same speech, follow on the same line."""
-    m = _DASH.match(text, at)
+def _after_dash(text: str, at: int) -> str:
+    """Whether author's words, or a further part of the same speech, follow on the same line: "always", "reply" if they do only within a reply, or ""."""
+    m = _DASH.match(text, at, at + RIGHT - 1)
     if not m:
-        return False
-    if not _UPPER.match(text[m.end() : m.end() + 1]):
-        return True
-    return text[text.rfind("\n", max(0, at - LEFT), at) + 1 : at].lstrip(" \t\x00")[:1] in "—–-"  # a capital: only within a reply
+        return ""
+    return "reply" if _UPPER.match(text[m.end() : m.end() + 1]) else "always"
+
+
+def _dashed(text: str, at: int) -> bool:
+    """Whether a line begins with a dash."""
+    return text[at : at + RIGHT].lstrip(" \t\x00")[:1] in ("—", "–", "-")
 
 
 def _last_visible(text: str, at: int, floor: int) -> int:
@@ -239,51 +262,74 @@ def _last_visible(text: str, at: int, floor: int) -> int:
     return at
 
 
-def chunk_function(text: str, start: int, end: int, base: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Transition function of text[start:end] and its possible unit ends as (1-based position, set of entry states)."""
-    states = list(range(N_STATES))
+def _mask(states: bytes, may: object, before: bytes) -> int:
+    """The entry states from which a unit ends at a symbol."""
+    return sum(1 << e for e, s in enumerate(states) if s % N_OPEN == 0 and (may is True or (before[e] % N_OPEN == _REPORTED if may == "cjk" else s % WITH_TAB < IN_REPLY)))
+
+
+def chunk_function(text: str, start: int, end: int, base: int) -> tuple[bytes, int, list[tuple[int, int]]]:
+    """Transition function of text[start:end], the position of its last visible character, and its possible unit ends as (position, set of entry states).
+
+    Positions are 1-based; 0 stands for the last visible character before the text that is given.
+    """
+    states, known = bytes(range(N_STATES)), {}
     ends: list[tuple[int, int]] = []
+    if base == 0 and start == 0 and _dashed(text, 0):
+        states = states.translate(LINE[False, True])
     for what, at, kind, may in _events(text, start, end):
-        if what == 1:
-            table = PUSH[kind]
-            states = [table[s] for s in states]
-        elif what == 2:
-            before = states
-            table = POP[kind]
-            states = [table[s] for s in states]
-            if may:
-                # a Chinese closing quote ends a unit if the quotation was reported after a colon
-                mask = sum(1 << e for e, (p, s) in enumerate(zip(before, states)) if s == 0 and (may != "cjk" or p == _REPORTED))
-                if mask:
-                    ends.append((base + _last_visible(text, at, 0), mask))
-        elif what == 3:
-            states = [0] * N_STATES
-            ends.append((base + _last_visible(text, at, 0), (1 << N_STATES) - 1))
+        before = states
+        if what == OPEN:
+            states = states.translate(PUSH[kind])
+        elif what == CLOSE:
+            states = states.translate(POP[kind])
+        elif what == TABULATOR:
+            states = states.translate(TAB)
+        elif what == NEWLINE:
+            states = states.translate(LINE[kind])
+        if what == NEWLINE:
+            mask = (1 << N_STATES) - 1 if may else sum(1 << e for e, s in enumerate(before) if s >= WITH_TAB)
+        elif not may:
+            continue
         else:
-            mask = sum(1 << e for e, s in enumerate(states) if s == 0)
-            if mask:
-                ends.append((base + _last_visible(text, at, 0), mask))
-    return states, ends
+            key = (states, may, before if may == "cjk" else b"")
+            mask = known[key] if key in known else known.setdefault(key, _mask(states, may, before))
+        if mask:
+            seen = _last_visible(text, at, 0)
+            ends.append((base + seen if seen else 0, mask))
+    seen = _last_visible(text, end, 0)
+    return states, base + seen if seen else 0, ends
 
 
 def _single(text: str) -> list[int]:
-    """Unit ends of a text that is one chunk: the transducer from state 0."""
-    state, ends = 0, []
+    """Unit ends of a text that is one chunk: the transducer from its first state."""
+    state, ends = IN_REPLY * _dashed(text, 0), []
     for what, at, kind, may in _events(text, 0, len(text)):
-        if what == 1:
+        before = state
+        if what == OPEN:
             state = PUSH[kind][state]
-        elif what == 2:
-            before, state = state, POP[kind][state]
-            if may and state == 0 and (may != "cjk" or before == _REPORTED):
+        elif what == CLOSE:
+            state = POP[kind][state]
+        elif what == TABULATOR:
+            state = TAB[state]
+        elif what == NEWLINE:
+            state = LINE[kind][state]
+            if may or before >= WITH_TAB:
                 ends.append(_last_visible(text, at, 0))
-        elif what == 3:
-            state = 0
-            ends.append(_last_visible(text, at, 0))
-        elif state == 0:
+            continue
+        if may and state % N_OPEN == 0 and (may is True or (before % N_OPEN == _REPORTED if may == "cjk" else state % WITH_TAB < IN_REPLY)):
             ends.append(_last_visible(text, at, 0))
     return ends
 
 
+def _entered(state: int, visible: int, chunks: Iterable[tuple[bytes, int, list[tuple[int, int]]]]) -> tuple[int, int, list[int]]:
+    """Runs chunks in order from an entry state: (state, last visible position, unit ends)."""
+    out: list[int] = []
+    for fn, seen, ends in chunks:
+        out += [p or visible for p, mask in ends if mask >> state & 1]
+        state, visible = fn[state], seen or visible
+    return state, visible, out
+
+
 def sentence_ends(text: str | None, chunk: int = CHUNK) -> list[int]:
     """1-based positions of the last characters of all units; the plain form of the operator."""
     if not text or not text.strip():
@@ -292,50 +338,80 @@ def sentence_ends(text: str | None, chunk: int = CHUNK) -> list[int]:
     if len(view) <= chunk:
         ends = _single(view)
     else:
-        state, ends = 0, []
-        for a in range(0, len(view), chunk):
-            piece = view[max(0, a - LEFT) : a + chunk + RIGHT]
-            off = min(a, LEFT)
-            fn, got = chunk_function(piece, off, off + chunk, a - off)
-            ends += [p for p, mask in got if mask >> state & 1]
-            state = fn[state]
+        pieces = ((max(0, a - LEFT), a) for a in range(0, len(view), chunk))
+        ends = _entered(0, 0, (chunk_function(view[at : a + chunk + RIGHT], a - at, min(a + chunk, len(view)) - at, at) for at, a in pieces))[2]
     return sorted({*ends, _last_visible(view, len(view), 0)} - {0})
 
 
-def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+_ALL = ((1 << N_STATES) - 1).to_bytes(16, "little")
+
+
+def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """Unit ends of each document: id, ``end_pos``, and ``start_pos`` of the unit.
 
-    Texts of one chunk (nearly all) are solved where they are read.  Longer ones are cut in the
-    JVM, their chunks spread over the cluster, and only the transition functions (31 small
-    numbers for each chunk) are brought together by document for the scan.
+    Texts of one chunk (nearly all) are solved where they are read, and move no more.  Longer ones are
+    cut in the JVM and their chunks spread over the cluster; what comes together is the functions and unit ends
+    of ``block`` chunks, and for a whole document one function (124 bytes) for each block.
     """
     id_type = dict(docs.dtypes)[id_col]
     n = F.ceil(F.length("text") / F.lit(float(chunk))).cast("int")
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text rlike '\\\\S'")
-    cut = read.select("id", n.alias("n"), F.length("text").alias("size"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text rlike '\\\\S'").withColumn("row", F.monotonically_increasing_id())
+    cut = read.select("id", "row", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(
         k.alias("k"), F.substring("text", F.greatest(k * chunk - LEFT, F.lit(0)) + 1, F.least(k * chunk, F.lit(LEFT)) + chunk + RIGHT).alias("piece")))).alias("c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, count, k, piece in zip(b["id"], b["n"], b["k"], b["piece"]):
+            for i, row, count, k, piece in zip(b["id"], b["row"], b["n"], b["k"], b["piece"]):
                 view = piece.translate(_WIDE)
                 if count == 1:
-                    out.append((i, k, count, [], sorted({*_single(view), _last_visible(view, len(view), 0)} - {0}), []))
+                    out.append((i, row, k, count, b"", 0, sorted({*_single(view), _last_visible(view, len(view), 0)} - {0}), []))
                     continue
                 off = min(k * chunk, LEFT)
-                fn, got = chunk_function(view, off, off + chunk, k * chunk - off)
+                fn, seen, got = chunk_function(view, off, min(off + chunk, len(view)), k * chunk - off)
+                ends, masks = [p for p, _ in got], [m.to_bytes(16, "little") for _, m in got]
                 if k == count - 1:
-                    got.append((k * chunk - off + _last_visible(view, len(view), 0), (1 << N_STATES) - 1))
-                out.append((i, k, count, fn, [p for p, _ in got], [m for _, m in got]))
-            yield pd.DataFrame(out, columns=["id", "k", "n", "fn", "ends", "masks"])
-
-    solved = cut.select("id", "n", "c.k", "c.piece").mapInPandas(run, f"id {id_type}, k int, n int, fn array<int>, ends array<int>, masks array<bigint>")
-    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    # composition of the functions of the chunks before, applied to state 0
-    entry = F.aggregate(F.collect_list(F.when(F.col("n") > 1, F.col("fn"))).over(before), F.lit(0), lambda s, f: F.element_at(f, s + 1))
-    entered = "filter(arrays_zip(ends, masks), e -> (e.masks & shiftleft(1L, entry)) <> 0).ends"
-    ends = solved.withColumn("entry", entry).select("id", F.expr(f"if(n = 1, ends, {entered})").alias("ends"))
-    units = ends.groupBy("id").agg(F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_list("ends"))), lambda e: e > 0)).alias("ends"))
-    units = units.select("id", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("start"), F.col("ends").alias("end"))).alias("u"))
+                    ends.append(seen)
+                    masks.append(_ALL)
+                out.append((i, row, k, count, fn, seen, ends, masks))
+            yield pd.DataFrame(out, columns=["id", "row", "k", "n", "fn", "seen", "ends", "masks"])
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row, number, chunks in zip(b["row"], b["block"], b["chunks"]):
+                fn, seen = bytes(range(N_STATES)), 0
+                for c in chunks:
+                    fn, seen = fn.translate(c["fn"] + bytes(256 - N_STATES)), c["seen"] or seen
+                out.append((row, number, fn, seen))
+            yield pd.DataFrame(out, columns=["row", "block", "fn", "seen"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row, blocks in zip(b["row"], b["blocks"]):
+                state = visible = 0
+                for x in blocks:
+                    out.append((row, x["block"], state, visible))
+                    state, visible = x["fn"][state], x["seen"] or visible
+            yield pd.DataFrame(out, columns=["row", "block", "state", "visible"])
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, row, number, chunks, state, visible in zip(b["id"], b["row"], b["block"], b["chunks"], b["state"], b["visible"]):
+                told = ((c["fn"], c["seen"], [(p, int.from_bytes(m, "little")) for p, m in zip(c["ends"], c["masks"])]) for c in chunks)
+                ends = sorted(set(_entered(state, visible, told)[2]) - {0})
+                out.append((i, row, number, ends))
+            yield pd.DataFrame(out, columns=["id", "row", "block", "ends"])
+
+    solved = checkpointed(cut.select("id", "row", "n", "c.k", "c.piece").mapInPandas(run, f"id {id_type}, row bigint, k int, n int, fn binary, seen int, ends array<int>, masks array<binary>"))
+    short = solved.where("n = 1").select("id", "ends", F.lit(0).alias("last"))
+    long = solved.where("n > 1").groupBy("id", "row", F.floor(F.col("k") / block).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "fn", "seen", "ends", "masks"))).alias("chunks"))
+    composed = long.mapInPandas(compose, "row bigint, block int, fn binary, seen int")
+    entries = composed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("block", "fn", "seen"))).alias("blocks")).mapInPandas(scan, "row bigint, block int, state int, visible int")
+    ended = long.join(entries, ["row", "block"]).mapInPandas(enter, f"id {id_type}, row bigint, block int, ends array<int>")
+    before = Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ended = ended.withColumn("last", F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(0))).select("id", F.filter("ends", lambda e: e > F.col("last")).alias("ends"), "last")
+    units = short.unionByName(ended).select("id", F.explode(F.arrays_zip(F.concat(F.array("last"), F.slice("ends", 1, F.size("ends") - 1)).alias("start"), F.col("ends").alias("end"))).alias("u")).where("u.end is not null")
     return units.select(F.col("id").alias(id_col), (F.col("u.start") + 1).alias("start_pos"), F.col("u.end").alias("end_pos"))

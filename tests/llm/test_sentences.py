@@ -45,25 +45,36 @@ def test_paragraphs_and_verse():
 
 
 def random_text(rng, n):
-    parts = ["Лес", "дом", ". ", "! ", "… ", "«", "»", "(", ")", " — ", "\n", "\n\n", "г. ", "А. ", "“", "”", '"', "「", "」", "。", ": ", ", ", "5.3 ", "ул. "]
+    parts = ["Лес", "дом", ". ", "! ", "… ", "«", "»", "(", ")", " — ", "\n", "\n\n", "г. ", "А. ", "“", "”", '"', "「", "」", "。", ": ", ", ", "5.3 ", "ул. ", "\t", " " * 60, "." * 60, "\n— ", "ไป ", "ป่า" + " " * 50, "\n" + " " * 70]
     return "".join(rng.choice(parts) for _ in range(n))
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(60))
 def test_scan_equals_whole(seed):
-    """Composed chunk functions give what one pass over the whole text gives."""
+    """Composed chunk functions give what one pass over the whole text gives, wherever it is cut."""
     text = random_text(random.Random(seed), 300)
-    assert S.sentence_ends(text, 120) == S.sentence_ends(text, 1 << 30)
+    want = S.sentence_ends(text, 1 << 30)
+    for chunk in (7, 60, 120, 500):
+        assert S.sentence_ends(text, chunk) == want
+
+
+def test_lines_longer_than_the_context():
+    line = "Имя\tвозраст и ещё очень много слов, которых хватит, чтобы строка стала длиннее"
+    text = f"{line}\nСтрока вторая"
+    assert S.sentence_ends(text, 1 << 30) == S.sentence_ends(text, 40) == [len(line), len(text)]
+    assert S.sentence_ends("да\n" + " " * 100 + "нет", 20) == S.sentence_ends("да\n" + " " * 100 + "нет", 1 << 30)
+    reply = "— " + "Подожди меня у старой мельницы, я скоро вернусь к тебе с хлебом. — Потом он ушёл."
+    assert units(reply) == [reply] and units(reply, chunk=30) == [reply]
+    told = "Рассказ начался. " + reply[2:]
+    assert len(units(told)) == 3 and units("— Да.\n" + told)[1:] == units(told)
 
 
 def test_composition():
     """The functions of two pieces compose to the function of both."""
     text = random_text(random.Random(99), 200).translate(S._WIDE)
     cut = len(text) // 2
-    f, _ = S.chunk_function(text, 0, cut, 0)
-    g, _ = S.chunk_function(text, cut, len(text), 0)
-    h, _ = S.chunk_function(text, 0, len(text), 0)
-    assert [g[s] for s in f] == h
+    f, g, h = (S.chunk_function(text, a, b, 0)[0] for a, b in ((0, cut), (cut, len(text)), (0, len(text))))
+    assert bytes(g[s] for s in f) == h
 
 
 def test_operator(spark):
@@ -71,8 +82,8 @@ def test_operator(spark):
     texts = [None, "", "  ", "Лес.", "Дом стоял. Лес шумел.", "Дом стоял. Лес шумел.", *(random_text(rng, 400) for _ in range(12))]
     df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, end_pos long")
     want = sorted((k, e) for k, t in enumerate(texts) for e in S.sentence_ends(t))
-    for chunk in (S.CHUNK, 150):
-        got = S.sentence_units(df, chunk=chunk).collect()
+    for chunk, block in ((S.CHUNK, S.BLOCK), (150, 2), (150, 100), (40, 3)):
+        got = S.sentence_units(df, chunk=chunk, block=block).collect()
         assert sorted((r.doc_id, r.end_pos) for r in got) == want
         assert all(r.start_pos <= r.end_pos for r in got)
     assert S.sentence_units(df.where("false")).count() == 0
