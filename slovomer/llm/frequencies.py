@@ -38,6 +38,8 @@ FLUSH_TERMS = 400_000
 #: Rows from which a radix partition is split further, and the bits of one split.
 SPLIT_ROWS, SPLIT_BITS = 2_000_000, 4
 MEMORY = "256MB"
+#: Bytes of input for one radix partition, and how many there are at most.
+BYTES, MAX_PARTITIONS = 1 << 30, 50_000
 
 
 def _finder(pattern: str) -> Callable[[str], list[str]]:
@@ -71,16 +73,24 @@ def _count(find: Callable[[str], list[str]], flush: int):
     return run
 
 
+def _spill_folder(shared: str) -> str:
+    """Where a task may spill: the shared folder if it is a file system, else the executor's own folders for spills, as Spark's shuffle does."""
+    if shared.startswith("file:") or "://" not in shared:
+        return re.sub("^file:(//)?", "", shared)
+    for name in ("SPARK_LOCAL_DIRS", "LOCAL_DIRS"):
+        if folders := os.environ.get(name):
+            return folders.split(",")[0]
+    return os.getcwd()
+
+
 def _aggregate(folder: str, split_rows: int, memory: str):
     """Sums of one radix partition, out of core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        spill = None
-        if folder.startswith("file:") or "://" not in folder:
-            spill = os.path.join(re.sub("^file:(//)?", "", folder), f"radix-{uuid.uuid4().hex}")
-        db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill or ""})
+        spill = os.path.join(_spill_folder(folder), f"radix-{uuid.uuid4().hex}")
+        db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill})
         try:
             db.execute("create table part (term varchar, n bigint, docs bigint)")
             rows = 0
@@ -107,12 +117,16 @@ def _aggregate(folder: str, split_rows: int, memory: str):
                     yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.int64()), b.column(2).cast(pa.int64())], ["term", "n", "docs"])
         finally:
             db.close()
-            if spill:
-                shutil.rmtree(spill, ignore_errors=True)
+            shutil.rmtree(spill, ignore_errors=True)
 
     return run
 
 
+def _input_bytes(rows: DataFrame) -> int:
+    """The optimizer's estimate of a table's size."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def term_frequencies(docs: DataFrame, text_col: str = "text", pattern: str | Callable[[str], list[str]] = TERM, partitions: int | None = None, flush: int = FLUSH_TERMS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(term, n, docs): how often each term occurs, and in how many rows.
 
@@ -122,7 +136,7 @@ def term_frequencies(docs: DataFrame, text_col: str = "text", pattern: str | Cal
     spark = docs.sparkSession
     schema = "term string, n bigint, docs bigint"
     counted = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(_count(find, flush), schema)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(_input_bytes(docs) // BYTES, MAX_PARTITIONS))
     radix = counted.repartition(n, F.shiftrightunsigned(F.xxhash64("term"), 40))
     return radix.mapInArrow(_aggregate(shared_folder(spark), split_rows, MEMORY), schema)
 

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+
 from slovomer.llm import frequencies as Q
 
 
@@ -31,3 +34,12 @@ def test_values_and_empty(spark):
     df = spark.createDataFrame([("А",), ("а",), ("А",), (None,)], "v string")
     assert {r.term: r.n for r in Q.value_frequencies(df, "v").collect()} == {"А": 2, "а": 1}
     assert Q.term_frequencies(df.where("false"), "v").count() == 0
+
+
+@pytest.mark.parametrize("shared", ["hdfs://name/shared", "s3a://bucket/x"])
+def test_spills_without_a_shared_file_system(tmp_path, monkeypatch, shared):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path},/other")
+    assert Q._spill_folder(shared) == str(tmp_path) and Q._spill_folder("file:///a/b") == "/a/b"
+    rows = pa.RecordBatch.from_pydict({"term": [f"{'слово' * 8}{k % 300_000}" for k in range(600_000)], "n": [1] * 600_000, "docs": [1] * 600_000})
+    got = pa.Table.from_batches(list(Q._aggregate(shared, 50_000_000, "64MB")(iter([rows]))))
+    assert got.num_rows == 300_000 and set(got["n"].to_pylist()) == {2} and not list(tmp_path.iterdir())
