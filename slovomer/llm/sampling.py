@@ -3,13 +3,15 @@
 Method: swap repair.  Records are grouped by category signature, the set of target
 cells that they lie in.  A random sample that keeps the wished minimum of every
 cell (as far as there are records) is the start; then counts are exchanged between
-signatures while that lowers the deviation from the targets, and at last each
-signature's count is materialised by a random draw of its records.
+signatures while that lowers the deviation from the targets (squared, each in units of what the
+target wishes, so small cells aren't emptied for large ones), and at last each
+signature's count is materialised by a random draw of its records.  The report counts
+the drawn records.
 
 Scale: labels and years are first reduced to those that the targets tell apart, so the
-number of signatures is bounded by the targets, not by the records; only their counts
-reach the driver.  The draw takes whole hash bands of a signature and sorts only
-the band in which its count falls.
+number of signatures is bounded by the targets, not by the records (more than
+``MAX_SIGNATURES`` are refused); only their counts reach the driver.  The draw takes whole hash
+bands of a signature and shuffles only the records of the one band in which its count falls.
 
 Defined results for odd input: a null label or year lies in no cell that restricts it;
 impossible years are compared as numbers; a label that reads as nothing (blank) is
@@ -26,6 +28,7 @@ import re
 from collections import defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ from .lookalikes import look, normal_form
 
 #: Target rows that the driver reads, at most.
 MAX_TARGETS = 20_000
+#: Combinations of reduced labels and years whose counts the driver reads, at most.
+MAX_SIGNATURES = 200_000
 #: Hash bands of a signature.
 BANDS = 4096
 _SIGNS = re.compile(r"[\W_]+")
@@ -102,8 +107,9 @@ def swap_repair(stock: dict[frozenset[int], int], wishes: dict[int, int], floors
     """Counts to draw of each signature (a set of targets).
 
     The start draws records at random for each floor, rarest cell first, then at random up to
-    the size; the repair exchanges records of two signatures, in the largest number of equal
-    steps that still helps, until no exchange lowers the summed squared deviation.
+    the size; the repair makes the exchange of records of two signatures that helps most, in the
+    number of records that is best for it, until none lowers the deviation.  The deviation of n exchanged
+    records is a parabola in n, so all pairs of signatures are judged at once by arrays.
     """
     size = min(size, sum(stock.values()))
     take: dict[frozenset[int], int] = defaultdict(int)
@@ -138,50 +144,78 @@ def swap_repair(stock: dict[frozenset[int], int], wishes: dict[int, int], floors
             if n > 0:
                 put(s, n)
         left = [s for s in left if stock[s] > take[s]]
-    floor = {t: min(f, has[t]) for t, f in floors.items()}
-
-    def gain(give: frozenset[int], get: frozenset[int], n: int) -> float:
-        """Fall of the squared deviation if n records of ``give`` are exchanged for ones of ``get``."""
-        g = 0.0
-        for t in give - get:
-            if has[t] - n < floor.get(t, 0):
-                return -1.0
-            d = has[t] - wishes.get(t, 0)
-            g += d * d - (d - n) * (d - n)
-        for t in get - give:
-            d = has[t] - wishes.get(t, 0)
-            g += d * d - (d + n) * (d + n)
-        return g
+    return _repair(sigs, stock, take, has, wishes, {t: min(f, has[t]) for t, f in floors.items()})
+
+
+#: Exchanges whose floors are looked at first; all others follow before the repair ends.
+FIRST = 512
+#: Pairs of signatures judged together.
+PAIRS = 1 << 20
+
+
+def _repair(sigs: list[frozenset[int]], stock: dict, take: dict, has: dict, wishes: dict[int, int], floor: dict[int, int]) -> dict[frozenset[int], int]:
+    targets = sorted({*wishes, *floor, *(t for s in sigs for t in s)})
+    at = {t: k for k, t in enumerate(targets)}
+    holds = np.zeros((len(sigs), len(targets)), bool)
+    for k, s in enumerate(sigs):
+        holds[k, [at[t] for t in s]] = True
+    wish = np.array([wishes.get(t, 0) for t in targets], float)
+    least = np.array([floor.get(t, 0) for t in targets], float)
+    now = np.array([has[t] for t in targets], float)
+    weight = 1 / np.maximum(wish, 1)
+    held = holds * weight
+    own = held.sum(1)
+    taken, left = (np.array([f(s) for s in sigs], float) for f in (lambda s: take[s], lambda s: stock[s] - take[s]))
+
+    def limited(give: np.ndarray, get: np.ndarray) -> np.ndarray:
+        """How many records each pair may exchange: what there is, and what the floors leave."""
+        most = np.minimum(taken[give], left[get])
+        for t in np.flatnonzero(now - least < most.max(initial=0)):
+            most = np.where(holds[give, t] & ~holds[get, t], np.minimum(most, now[t] - least[t]), most)
+        return most
+
+    def judged(give: np.ndarray, get: np.ndarray, slope: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fall of the deviation, records) of the best number of records for each pair."""
+        rise = slope[get] - slope[give]
+        curve = own[give] + own[get] - 2 * (held[give] * holds[get]).sum(1)
+        n = np.clip(np.rint(-rise / np.maximum(curve, 1e-12)), 1, np.maximum(most, 1))
+        return np.where(most >= 1, -(2 * n * rise + n * n * curve), -1.0), n
 
     while True:
-        best = (1e-9, None, None, 0)
-        givers, takers = [s for s in sigs if take[s]], [s for s in sigs if stock[s] > take[s]]
-        # the slope at one record ranks the pairs; the length of the step is found for the best few
-        slope = {s: sum(2 * (has[t] - wishes.get(t, 0)) for t in s) for s in sigs}
-        for give in sorted(givers, key=lambda s: (-slope[s], sorted(s)))[:64]:
-            for get in sorted(takers, key=lambda s: (slope[s], sorted(s)))[:64]:
-                n = min(take[give], stock[get] - take[get])
-                while n:
-                    if (g := gain(give, get, n)) > best[0]:
-                        best = (g, give, get, n)
-                    n //= 2
-        if best[1] is None:  # none among the steepest: all pairs, one record
-            for give in givers:
-                for get in takers:
-                    if give != get and (g := gain(give, get, 1)) > best[0]:
-                        best = (g, give, get, 1)
+        slope = held @ (now - wish)
+        givers, takers = np.flatnonzero(taken), np.flatnonzero(left)
+        step = max(1, PAIRS // max(1, len(takers)))
+        best = (1e-9, -1, -1, 0.0)
+        for whole in (False, True):
+            for k in range(0, len(givers), step):
+                give, get = (x.ravel() for x in np.meshgrid(givers[k : k + step], takers, indexing="ij"))
+                rise = slope[get] - slope[give]
+                use = np.flatnonzero(rise < 0)  # no other exchange can help
+                if not whole and len(use) > FIRST:
+                    use = use[np.argpartition(rise[use], FIRST)[:FIRST]]
+                give, get = give[use], get[use]
+                if len(use):
+                    gain, n = judged(give, get, slope, limited(give, get))
+                    j = int(gain.argmax())
+                    if gain[j] > best[0]:
+                        best = (float(gain[j]), int(give[j]), int(get[j]), float(n[j]))
+            if best[1] >= 0:
+                break
         _, give, get, n = best
-        if give is None:
-            return {s: n for s, n in take.items() if n}
-        put(give, -n)
-        put(get, n)
+        if give < 0:
+            return {s: int(x) for s, x in zip(sigs, taken) if x}
+        for k, m in ((give, -n), (get, n)):
+            taken[k] += m
+            left[k] -= m
+            now += m * holds[k]
 
 
 def sample_to_targets(rows: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 11, keep: tuple[str, ...] = ("file", "rec_id")) -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
     sample: plan_id and the ``keep`` columns of the drawn records.  report: plan_id, target_id, wanted,
-    available, drawn, share, drawn_share, met (False where the records can't meet the target).
+    available, drawn (counted in the sample), share, drawn_share, met (False where the records can't meet the
+    target by themselves), reached (False where the sample doesn't, as other targets stand against it).
     """
     spark = rows.sparkSession
     plan_rows = plans.select("plan_id", "sample_size").where("plan_id is not null").distinct().limit(MAX_TARGETS + 1).collect()
@@ -194,8 +228,10 @@ def sample_to_targets(rows: DataFrame, plans: DataFrame, targets: DataFrame, see
     cells = Cells(cell_rows)
     signs = ["type_key", "era", "category_key"]
     records = checkpointed(cells.reduced(latest_records(rows)).select("file", "rec_id", *signs))
-    counted = records.groupBy(*signs).count().collect()  # at most (types + 1) (eras + 1) (categories + 1) rows
-    report, quota = [], []
+    counted = records.groupBy(*signs).count().limit(MAX_SIGNATURES + 1).collect()  # at most (types + 1) (eras + 1) (categories + 1) rows
+    if len(counted) > MAX_SIGNATURES:
+        raise ValueError("too many combinations of labels and years for the driver")
+    report, quota, lies_in = [], [], []
     for plan in sorted(size_of):
         mine = [r for r in cell_rows if r.plan_id == plan]
         stock: dict[frozenset[int], int] = defaultdict(int)
@@ -207,24 +243,32 @@ def sample_to_targets(rows: DataFrame, plans: DataFrame, targets: DataFrame, see
         wishes = {k: int((r.share or 0.0) * size_of[plan] + 0.5) for k, r in enumerate(mine)}
         floors = {k: r.min_records or 0 for k, r in enumerate(mine)}
         drawn = swap_repair(dict(stock), wishes, floors, size_of[plan], random.Random(seed * 1000 + hash(plan)))
-        total = sum(drawn.values())
         for number, s in enumerate(sorted(stock, key=sorted)):
+            lies_in += [(plan, number, mine[k].target_id) for k in s]
             for c in members[s]:
                 quota.append((plan, number, c.type_key, c.era, c.category_key, drawn.get(s, 0)))
         for k, r in enumerate(mine):
-            has, got = sum(n for s, n in stock.items() if k in s), sum(n for s, n in drawn.items() if k in s)
-            need = wish(r.share, size_of[plan], r.min_records)
-            report.append((plan, r.target_id, need, has, got, r.share, got / total if total else None, has >= need))
+            report.append((plan, r.target_id, wish(r.share, size_of[plan], r.min_records), sum(n for s, n in stock.items() if k in s), r.share))
     quotas = spark.createDataFrame(quota, f"plan_id int, signature int, {', '.join(f'{c} {t}' for c, t in records.dtypes if c in signs)}, quota bigint").where("quota > 0")
-    reports = spark.createDataFrame(report, "plan_id int, target_id int, wanted bigint, available bigint, drawn bigint, share double, drawn_share double, met boolean")
-    return draw(records, quotas, signs, seed).select("plan_id", *keep), reports
+    sample = draw(records, quotas, signs, seed)
+    got = sample.groupBy("plan_id", "signature").agg(F.count("*").alias("n"))
+    cell = F.broadcast(spark.createDataFrame(lies_in, "plan_id int, signature int, target_id int").distinct())  # signatures by targets, both bounded
+    of_cell = got.join(cell, ["plan_id", "signature"]).groupBy("plan_id", "target_id").agg(F.sum("n").alias("drawn"))
+    of_plan = got.groupBy("plan_id").agg(F.sum("n").alias("total"))
+    asked = spark.createDataFrame(report, "plan_id int, target_id int, wanted bigint, available bigint, share double")
+    reports = asked.join(of_cell, ["plan_id", "target_id"], "left").join(of_plan, "plan_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return sample.select("plan_id", *keep), reports.select(
+        "plan_id", "target_id", "wanted", "available", "drawn", "share", F.try_divide(F.col("drawn").cast("double"), F.col("total").cast("double")).alias("drawn_share"),
+        (F.col("available") >= F.col("wanted")).alias("met"), (F.col("drawn") >= F.col("wanted")).alias("reached"),
+    )
 
 
 def draw(records: DataFrame, quotas: DataFrame, signs: list[str], seed: int) -> DataFrame:
     """For each plan and signature the quota's number of records, at random and exactly.
 
     Records get a random number from a hash of their file.  Bands of it below the quota are
-    taken whole, and only the band that the quota cuts is sorted: 1 / ``BANDS`` of a signature.
+    taken whole where they are read; only the records of the band that the quota cuts are shuffled and
+    sorted: 1 / ``BANDS`` of a signature.
     """
     same = [F.col(f"q.{c}").eqNullSafe(F.col(f"r.{c}")) for c in signs]
     on: Column = same[0] & same[1] & same[2]
@@ -233,12 +277,15 @@ def draw(records: DataFrame, quotas: DataFrame, signs: list[str], seed: int) ->
     hit = hit.withColumn("band", F.pmod("chance", F.lit(BANDS)).cast("int"))
     bands = hit.groupBy("plan_id", "signature", "band").agg(F.count("*").alias("n"), F.max("quota").alias("quota"))
     w = Window.partitionBy("plan_id", "signature").orderBy("band")  # at most BANDS rows
-    bands = bands.withColumn("before", F.sum("n").over(w) - F.col("n")).where("before < quota").select("plan_id", "signature", "band", (F.col("quota") - F.col("before")).alias("still"), "n")
-    joined = hit.drop("quota").join(bands, ["plan_id", "signature", "band"])
-    whole = joined.where("n <= still")
-    cut = joined.where("n > still").withColumn("rank", F.row_number().over(Window.partitionBy("plan_id", "signature", "band").orderBy("chance", "file"))).where("rank <= still").drop("rank")
+    last = bands.withColumn("before", F.sum("n").over(w) - F.col("n")).where("before < quota")
+    last = last.groupBy("plan_id", "signature").agg(F.max_by(F.struct("band", (F.col("quota") - F.col("before")).alias("still"), "n"), "band").alias("cut"))
+    joined = hit.join(F.broadcast(last), ["plan_id", "signature"])  # no more rows than quotas
+    whole = joined.where("band < cut.band or band = cut.band and cut.n <= cut.still").drop("cut")
+    order = Window.partitionBy("plan_id", "signature").orderBy("chance", "file")
+    cut = joined.where("band = cut.band and cut.n > cut.still").withColumn("rank", F.row_number().over(order)).where("rank <= cut.still").drop("rank", "cut")
     return whole.unionByName(cut)
 
 
 def unmet_targets(report: DataFrame) -> DataFrame:
-    return report.where("not met").select("plan_id", "target_id")
+    """Targets that the sample doesn't reach, of these the ones that no sample could."""
+    return report.where("not reached and not met").select("plan_id", "target_id")

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -32,7 +33,7 @@ def test_swap_repair_never_worse_than_start():
         assert all(has[t] >= min(floors[t], room[t], size // 8) for t in wishes)
 
         def cost(h):
-            return sum((h[t] - wishes[t]) ** 2 for t in wishes)
+            return sum((h[t] - wishes[t]) ** 2 / max(wishes[t], 1) for t in wishes)
 
         for a in got:  # no exchange of one record helps, unless it breaks a floor
             for b in stock:
@@ -43,7 +44,7 @@ def test_swap_repair_never_worse_than_start():
                     for t in b:
                         h[t] += 1
                     if all(h[t] >= min(floors[t], has[t]) for t in a - b):
-                        assert cost(h) >= cost(has)
+                        assert cost(h) >= cost(has) - 1e-6
 
 
 def data(spark, n=400):
@@ -74,7 +75,7 @@ def test_sample(spark):
     for c in cells:
         has = sum(bool(holds(r, c)) for r in last.values())
         need = max(int((c[6] or 0) * 100 + 0.5), c[7] or 0)
-        assert (got[c[1]].available, got[c[1]].wanted, got[c[1]].met) == (has, need, has >= need)
+        assert (got[c[1]].available, got[c[1]].wanted, got[c[1]].met, got[c[1]].reached) == (has, need, has >= need, got[c[1]].drawn >= need)
         assert got[c[1]].drawn == sum(bool(holds(last[r.file], c)) for r in drawn)
     assert [r.target_id for r in S.unmet_targets(report).collect()] == [3]
     assert sorted(map(tuple, S.sample_to_targets(df, plans, targets)[0].collect())) == sorted(map(tuple, drawn))
@@ -95,3 +96,26 @@ def test_too_many_plans(spark, monkeypatch):
     targets = spark.read.parquet("/root/testdata/sf0.001/sample_targets.parquet").limit(1)
     with pytest.raises(ValueError, match="plans"):
         S.sample_to_targets(rows, plans, targets)
+
+
+def test_many_signatures():
+    rng = random.Random(6)
+    stock = {frozenset(k for k in range(60) if rng.random() < 0.1): rng.randrange(1, 400) for _ in range(600)}
+    wishes, floors = {k: rng.randrange(0, 900) for k in range(60)}, {k: rng.randrange(0, 9) for k in range(60)}
+    began = time.time()
+    got = S.swap_repair(stock, wishes, floors, 9000, random.Random(1))
+    assert sum(got.values()) == 9000 and time.time() - began < 60
+
+
+def test_small_cells_are_not_emptied():
+    """A cell that wishes 9 of 95 keeps them though a large one of the same size could use the places."""
+    stock = {frozenset([0]): 2000, frozenset([1]): 95, frozenset([0, 2]): 40}
+    got = S.swap_repair(stock, {0: 1100, 1: 9, 2: 30}, {}, 1000, random.Random(1))
+    assert got[frozenset([1])] >= 7
+
+
+def test_too_many_signatures(spark, monkeypatch):
+    _, df, plans, targets, _ = data(spark)
+    monkeypatch.setattr(S, "MAX_SIGNATURES", 2)
+    with pytest.raises(ValueError, match="combinations"):
+        S.sample_to_targets(df, plans, targets)
