@@ -6,7 +6,7 @@ with the inclusion probability (T / S) mod 1, and the flight phase moves three o
 at a time along the null space of the two constraints (number of documents, tokens)
 until one is decided, so both totals stay what they are.  It runs in shards; the two
 documents that each leaves undecided fly again together, by source, and the last two
-are landed at random.
+land where the source's tokens, then its number of documents, come nearest to what they should be.
 
 Defined results for odd input: a null or non-positive weight, or a null budget, asks for nothing; a
 null ``max_uses`` sets no cap; a null source of a target names no documents; null texts
@@ -17,6 +17,7 @@ copies of a target row count once; empty tables give empty results.
 from __future__ import annotations
 
 import random
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,7 +65,15 @@ def flight(items: list[tuple[int, int, float]], rng: random.Random) -> list[tupl
 
 
 def land(items: list[tuple[int, int, float]], rng: random.Random) -> list[tuple[int, int, float]]:
-    return [(i, s, float(rng.random() < p)) for i, s, p in items]
+    """Decides what a flight has left, two items at most: of all ways the one with the least error in tokens, then in documents, then any."""
+    open_ = [k for k, x in enumerate(items) if 0 < x[2] < 1]
+    tokens, number = sum(items[k][1] * items[k][2] for k in open_), sum(items[k][2] for k in open_)
+    best = min(
+        product((0.0, 1.0), repeat=len(open_)),
+        key=lambda way: (round(abs(sum(items[k][1] * x for k, x in zip(open_, way)) - tokens), 6), round(abs(sum(way) - number), 6), rng.random()),
+    )
+    told = dict(zip(open_, best))
+    return [(i, s, told.get(k, p)) for k, (i, s, p) in enumerate(items)]
 
 
 def wanted(sizes: DataFrame, plans: DataFrame, targets: DataFrame) -> DataFrame:
@@ -135,3 +144,8 @@ def mix_report(uses: DataFrame, wishes: DataFrame) -> DataFrame:
     r = wishes.join(given, ["mix_id", "source"], "left").fillna(0, ["given_tokens", "documents", "most_uses"])
     w = Window.partitionBy("mix_id")  # a plan's targets, a few rows
     return r.select("mix_id", "source", "wanted_tokens", "given_tokens", F.try_divide("wanted_tokens", F.sum("wanted_tokens").over(w)).alias("wanted_share"), F.try_divide(F.col("given_tokens").cast("double"), F.sum("given_tokens").over(w)).alias("given_share"), "documents", "most_uses", "max_uses", "reached")
+
+
+def unreached_targets(report: DataFrame) -> DataFrame:
+    """Targets that the mix gives less than they want, of these the ones that no mix could reach."""
+    return report.where("given_tokens < wanted_tokens and not reached").select("mix_id", "source")

@@ -42,7 +42,7 @@ def test_flight_keeps_expectations():
     items = [(k, s, 0.4) for k, s in enumerate([5, 1, 9, 3, 3, 7])]
     hits = [0.0] * 6
     for _ in range(4000):
-        for i, _, x in M.land(M.flight(items, rng), rng):
+        for i, _, x in M.flight(items, rng):
             hits[i] += x
     assert all(abs(h / 4000 - 0.4) < 0.04 for h in hits)
 
@@ -92,3 +92,13 @@ def test_mix(spark, docs):
         assert abs(a.given_tokens - min(a.wanted_tokens, size["a"])) <= 120 and abs(b.given_tokens - min(b.wanted_tokens, 9 * size["b"])) <= 120
         assert not rep[1, "nix"].reached and not rep[1, None].reached and (1, "c") not in rep and (2, "a") not in rep and rep[3, "a"].reached
     assert M.mix_sources(docs.where("false"), w.where("false")).count() == 0
+
+
+def test_landing_has_the_least_error():
+    rng = random.Random(8)
+    for _ in range(200):
+        items = [(0, 50, 1.0), *((k, rng.randrange(1, 400), rng.random()) for k in (1, 2)), (3, 7, 0.0)]
+        out = M.land(items, rng)
+        want = sum(s * p for _, s, p in items)
+        errors = [abs(50 + items[1][1] * a + items[2][1] * b - want) for a in (0, 1) for b in (0, 1)]
+        assert {x[2] for x in out} <= {0.0, 1.0} and abs(sum(s * p for _, s, p in out) - want) == pytest.approx(min(errors))
