@@ -93,6 +93,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.lookalike_pairs(lookalikes.normalise_lookalikes(_t(spark, folder, "documents"), keep_form=False))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.class_members(lookalikes.normalise_lookalikes(_t(spark, folder, "documents"), keep_form=False))
+
+
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalise_lookalikes(_t(spark, folder, "documents")).select("doc_id", "form", "look_key")
 
@@ -154,7 +158,7 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_report(*_mix(spark, folder)).where("not reached").select("mix_id", "source")
+    return mixing.unreached_targets(mixing.mix_report(*_mix(spark, folder)))
 
 
 def p9_uses(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +180,7 @@ def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_found, p2_repaired, p2_primer_repaired, p2_works_repaired, p3_found, p3_units, p4_found, p4_terms, p5_found, p5_forms, p5_primer_forms, p5_works_forms, p6_found, p6_statistics,
+        p1_found, p1_sample, p1_report, p2_found, p2_repaired, p2_primer_repaired, p2_works_repaired, p3_found, p3_units, p4_found, p4_terms, p5_found, p5_classes, p5_forms, p5_primer_forms, p5_works_forms, p6_found, p6_statistics,
         p7_found, p7_levels, p8_found, p8_containers, p8_fill, p9_found, p9_uses, p9_shares, p10_found, p10_repaired,
     )
 }
