@@ -413,5 +413,5 @@ def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ended = long.join(entries, ["row", "block"]).mapInPandas(enter, f"id {id_type}, row bigint, block int, ends array<int>")
     before = Window.partitionBy("row").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ended = ended.withColumn("last", F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(0))).select("id", F.filter("ends", lambda e: e > F.col("last")).alias("ends"), "last")
-    units = short.unionByName(ended).select("id", F.explode(F.arrays_zip(F.concat(F.array("last"), F.slice("ends", 1, F.size("ends") - 1)).alias("start"), F.col("ends").alias("end"))).alias("u")).where("u.end is not null")
+    units = short.unionByName(ended).select("id", F.explode(F.arrays_zip(F.concat(F.array("last"), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))).alias("start"), F.col("ends").alias("end"))).alias("u")).where("u.end is not null")
     return units.select(F.col("id").alias(id_col), (F.col("u.start") + 1).alias("start_pos"), F.col("u.end").alias("end_pos"))
