@@ -65,8 +65,6 @@ _SIGN = {c: w for w, r in _SEVERAL.items() for c in r}
 MANY = 16
 #: Misread letters of an all-Cyrillic word: two from this length, three from twice as many letters.
 LETTERS_OF_TWO = 6
-#: Length from which a known confusion and one other substitution are repaired together.
-LETTERS_OF_ANY = 10
 #: The widest line of a page; a wider one is of no scan.
 WIDEST = 100
 _HOMOGLYPH = str.maketrans("aceopxyiABCEHKMOPTXëËïoοα", "асеорхуіАВСЕНКМОРТХёЁїооа")
@@ -172,8 +170,6 @@ class Lexicon:
     def repair(self, word: str, before: str = "", limit: float = 0.5) -> str | None:
         """The word that a misread Cyrillic word stands for, if one is near enough by the known confusions."""
         found = [c for c in self.look_up(word) if c[0] <= limit] or [(n, w) for n, w in several_confused(word) if w in self.words]
-        if not found and len(word) >= LETTERS_OF_ANY:
-            found = sorted((1.3, w) for x in _confused(word) for d, w in self.look_up(x) if d == 1.0 and len(w) == len(word))
         if not found:
             return None
         best = found[0][0]
@@ -276,6 +272,7 @@ def _shape(word: str) -> str:
 
 _NUMBERED = re.compile(r"\d+-?[а-яё]{1,3}|\d+[а-яё]{1,4}|[а-яёА-ЯЁ]{1,3}\d{1,4}")
 _TWO_SIGNS = re.compile("ьі|ЈІ|іо")
+_TWO_SIGNS_ANY = re.compile(_TWO_SIGNS.pattern, re.I)
 
 
 def misread(token: str, lexicon: Lexicon, before: str = "") -> str | None:
@@ -485,8 +482,26 @@ def count_terms(text: str) -> list[str]:
     return [*words, *map(" ".join, zip(ends, ends[1:])), *("#" + h for h in running_heads(text))]
 
 
-def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool]) -> set[str]:
+def _asking(may: Callable[[str], bool]) -> Callable[[str, bool], tuple[str, ...]]:
+    """The keys by which a word that isn't known is looked up, of them those that ``may`` be known; an odd one may also be an edit away."""
+
+    @lru_cache(maxsize=1 << 16)
+    def asked(w: str, odd: bool) -> tuple[str, ...]:
+        if not _CYR.search(w):
+            return ()
+        keys = {w, *w.split("-"), *_confused(w), *(x for _, x in several_confused(w))}
+        if x := _shape(w):
+            keys.add("~" + x)
+        if odd and len(w) > 2:
+            keys |= _deletes(w)
+        return tuple(k for k in keys if k and may(k))
+
+    return asked
+
+
+def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool], asked: Callable[[str, bool], tuple[str, ...]] | None = None) -> set[str]:
     """What ``judge`` may look up in vain for these lines: words with their deletes, and "#" + heads with theirs; of them those that ``may`` be known."""
+    asked = asked or _asking(may)
     words, odd, exact, keys = set(), set(), set(), set()
     shown = [x.strip() for x in lines if x.strip()]
     tokens = [[m.group().strip("'’") for m in _TOKEN.finditer(x)] for x in shown]
@@ -499,7 +514,7 @@ def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool]) -> se
             continue
         m = _at_edge(line)
         heads = {head_key(line), head_key(m.group("t1") or m.group("t2") or m.group("t3")) if m else ""} - lexicon.heads - {""}
-        known = {d for h in heads if len(h) <= WIDEST + 1 for d in ("#" + h, *(["#" + d for d in _deletes(h)] if len(h) > 5 else ())) if may(d)}
+        known = {d for h in heads if len(h) <= WIDEST + 1 for d in ("#" + h, *(["#" + d for d in _deletes(h)] if len(h) > 5 and any(map(may, _ends_of(h))) else ())) if may(d)}
         keys |= known
         aside.append(bool(m or known or line.isupper() or _AUTHOR.match(line) or lexicon.is_head(line)))
     for k, line in enumerate(shown):
@@ -524,29 +539,30 @@ def _asked(lines: list[str], lexicon: Lexicon, may: Callable[[str], bool]) -> se
                     break
     keys |= {k for k in exact if k not in lexicon.words and may(k)}
     for w in words | odd:
-        if w not in lexicon.words and _CYR.search(w):
-            keys.update(p for p in (w, *w.split("-"), *_confused(w), *(x for _, x in several_confused(w))) if p and may(p))
-            if x := _shape(w):
-                keys.update(filter(may, ("~" + x,)))
-            if w in odd and len(w) > 2:
-                keys.update(filter(may, _deletes(w)))
-            elif len(w) >= LETTERS_OF_ANY:
-                keys.update(filter(may, (d for x in _confused(w) for d in _deletes(x))))
+        if w not in lexicon.words:
+            keys.update(asked(w, w in odd))
     return keys
 
 
+def _ends_of(head: str) -> tuple[str, ...]:
+    """Of two heads one edit apart either the first or the last four letters are the same, if they are so long; of short ones nothing is asked."""
+    return ("<" + head[:4], ">" + head[-4:]) if len(head) > 9 else ("<",)
+
+
 def _bits(rest: DataFrame) -> tuple[bytes, int]:
     """One bit for each hash of a key of ``rest``: what isn't set is no key. Only saves rows, so its size needn't grow for ever."""
-    width = min(26, max(16, (64 * rest.count()).bit_length()))
+    width = min(28, max(16, (512 * rest.count()).bit_length()))  # a term has ten keys or so
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(1 << width, dtype=bool)
         for b in batches:
-            bits[[zlib.crc32(k.encode()) >> (32 - width) for k in b["key"]]] = True
+            heads = {t[1:] for t in b["term"] if t[0] == "#"}
+            keys = [*b["key"], "<", *("<" + h[:4] for h in heads), *(">" + h[-4:] for h in heads)]
+            bits[[zlib.crc32(k.encode()) >> (32 - width) for k in keys]] = True
         yield pd.DataFrame([(zlib.compress(np.packbits(bits).tobytes(), 1),)], columns=["bits"])
 
     out = np.zeros(1 << (width - 3), dtype=np.uint8)
-    for r in _keyed(rest).select("key").coalesce(16).mapInPandas(mark, "bits binary").toLocalIterator():
+    for r in _keyed(rest).select("key", "term").coalesce(16).mapInPandas(mark, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
     return out.tobytes(), width
 
@@ -564,9 +580,14 @@ def _confused(word: str) -> list[str]:
     return [word[:i] + x + word[i + 1 :] for i, c in enumerate(word) for x in _BACK.get(c, "")]
 
 
+_PLAIN = re.compile("[А-Яа-яЁё]+")
+
+
 def _spellings(token: str) -> set[str]:
+    if _PLAIN.fullmatch(token):
+        return {token.lower()}
     plain = token.translate(_HOMOGLYPH).lower()
-    return {token.lower(), plain, *(_listed(token) if _FOREIGN.search(token) or re.search("ьі|Јі|іо", token, re.I) else ())}
+    return {token.lower(), plain, *(_listed(token) if _FOREIGN.search(token) or _TWO_SIGNS_ANY.search(token) else ())}
 
 
 def _listed(token: str) -> list[str]:
@@ -664,12 +685,13 @@ def scan_defects(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         may = _may(*bits.value)
+        asked = _asking(may)
         for b in batches:
             out = []
             for i, t in zip(b["id"], b["text"]):
                 lines = [_INVISIBLE.sub("", x).replace("\xa0", " ") for x in t.split("\n")]
                 if is_scanned(lines)[0]:
-                    out.append((i, t, list(_asked(lines, lexicon_.value, may))))
+                    out.append((i, t, list(_asked(lines, lexicon_.value, may, asked))))
             yield pd.DataFrame(out, columns=["id", "text", "keys"])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(MAYBE_SCANNED))
