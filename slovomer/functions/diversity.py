@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 MEASURES = ("ttr", "rttr", "cttr", "httr", "sttr", "mttr", "dttr", "mattr", "msttr", "mtld", "mamtld", "hdd", "simpson_index", "hapax_index")
 FULL_FACTOR = 0.72
 WINDOW, SEGMENT, MIN_LEN, SAMPLE = 50, 50, 10, 42
-SCHEMA = ", ".join(f"{m} double" for m in MEASURES)
 
 
 def _quotient(a: float, b: float, default: float = 0.0) -> float:
@@ -124,56 +123,64 @@ def measures(words, window: int = WINDOW, segment: int = SEGMENT, min_len: int =
 TOGETHER = 1 << 19
 
 
-def measures_many(lists, window: int = WINDOW, segment: int = SEGMENT, min_len: int = MIN_LEN, sample: int = SAMPLE) -> list[tuple[float, ...]]:
+def measures_many(lists, window: int = WINDOW, segment: int = SEGMENT, min_len: int = MIN_LEN, sample: int = SAMPLE, only: tuple[str, ...] = MEASURES) -> list[tuple[float, ...]]:
+    """The measures in ``only`` of each word list, in its order; what they don't need isn't computed."""
     out: list[tuple[float, ...]] = []
     group: list = []
     size = 0
+    both = "mtld" in only or "mamtld" in only
     for k, words in enumerate(lists):
         group.append(words)
         size += len(words)
         if size > TOGETHER or k == len(lists) - 1:
             codes = [codes_of(w) for w in group]
-            prev, back = [previous(c) for c in codes], [previous(c[::-1]) for c in codes]
-            moving = (_mamtld_one_way(prev, min_len) + _mamtld_one_way(back, min_len)) / 2
-            out += [_measures(*x, window, segment, min_len, sample) for x in zip(codes, prev, back, moving.tolist())]
+            prev = [previous(c) for c in codes] if both or "mattr" in only or "msttr" in only else codes
+            back = [previous(c[::-1]) for c in codes] if both else codes
+            moving = ((_mamtld_one_way(prev, min_len) + _mamtld_one_way(back, min_len)) / 2).tolist() if "mamtld" in only else [0.0] * len(group)
+            for c, p, q, m in zip(codes, prev, back, moving):
+                told = _measures(c, p, q, m, window, segment, min_len, sample, only)
+                out.append(tuple(told[x] for x in only))
             group, size = [], 0
     return out
 
 
-def _measures(codes: np.ndarray, prev: np.ndarray, back: np.ndarray, moving: float, window: int, segment: int, min_len: int, sample: int) -> tuple[float, ...]:
+def _measures(codes: np.ndarray, prev: np.ndarray, back: np.ndarray, moving: float, window: int, segment: int, min_len: int, sample: int, only: tuple[str, ...]) -> dict[str, float]:
     n = len(codes)
     freq = np.bincount(codes) if n else np.zeros(0, np.int64)
     v = len(freq)
     ln, lv = (log10(n), log10(v)) if n else (0.0, 0.0)
-    sttr = 0.0 if n <= 1 or v <= 1 or not log10(ln) else log10(lv) / log10(ln)
-    pairs = int((freq * (freq - 1)).sum())
     rare = _quotient(int((freq == 1).sum()), v)
-    return (
-        _quotient(v, n),
-        _quotient(v, sqrt(n)),
-        _quotient(v, sqrt(2 * n)),
-        _quotient(lv, ln),
-        sttr,
-        _quotient(ln - lv, ln**2),
-        _quotient(ln**2, ln - lv),
-        _mattr(prev, n, v, window),
-        _msttr(prev, n, v, segment),
-        (_mtld_one_way(prev, min_len) + _mtld_one_way(back, min_len)) / 2,
-        moving,
-        hdd_of(freq, n, sample),
-        _quotient(n * (n - 1), pairs),
-        _quotient(100 * ln, 1 - rare),
-    )
-
-
-def diversity_udf(window: int = WINDOW, segment: int = SEGMENT, min_len: int = MIN_LEN, sample: int = SAMPLE):
-    """Array of words to a struct of the fourteen measures; null for a null list."""
-
-    @F.pandas_udf(SCHEMA)
+    out = {
+        "ttr": _quotient(v, n),
+        "rttr": _quotient(v, sqrt(n)),
+        "cttr": _quotient(v, sqrt(2 * n)),
+        "httr": _quotient(lv, ln),
+        "sttr": 0.0 if n <= 1 or v <= 1 or not log10(ln) else log10(lv) / log10(ln),
+        "mttr": _quotient(ln - lv, ln**2),
+        "dttr": _quotient(ln**2, ln - lv),
+        "mamtld": moving,
+        "simpson_index": _quotient(n * (n - 1), int((freq * (freq - 1)).sum())),
+        "hapax_index": _quotient(100 * ln, 1 - rare),
+    }
+    if "mattr" in only:
+        out["mattr"] = _mattr(prev, n, v, window)
+    if "msttr" in only:
+        out["msttr"] = _msttr(prev, n, v, segment)
+    if "mtld" in only:
+        out["mtld"] = (_mtld_one_way(prev, min_len) + _mtld_one_way(back, min_len)) / 2
+    if "hdd" in only:
+        out["hdd"] = hdd_of(freq, n, sample)
+    return out
+
+
+def diversity_udf(window: int = WINDOW, segment: int = SEGMENT, min_len: int = MIN_LEN, sample: int = SAMPLE, only: tuple[str, ...] = MEASURES):
+    """Array of words to a struct of the measures in ``only``, all fourteen by default; null for a null list."""
+
+    @F.pandas_udf(", ".join(f"{m} double" for m in only))
     def run(lists: pd.Series) -> pd.DataFrame:
         given = [w for w in lists if w is not None]
-        told = iter(measures_many(given, window, segment, min_len, sample))
-        none = (None,) * len(MEASURES)
-        return pd.DataFrame([none if w is None else next(told) for w in lists], columns=list(MEASURES))
+        told = iter(measures_many(given, window, segment, min_len, sample, only))
+        none = (None,) * len(only)
+        return pd.DataFrame([none if w is None else next(told) for w in lists], columns=list(only))
 
     return run

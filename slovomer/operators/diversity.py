@@ -16,11 +16,11 @@ from ..functions.tokens import WordSpec
 LOWER = WordSpec(lowercase=True)
 
 
-def diversity_stats(docs: DataFrame, words: WordSpec = LOWER, id_col: str = "doc_id", text_col: str = "text", words_col: str | None = None, as_struct: bool = False, **sizes) -> DataFrame:
-    """The fourteen measures: one Arrow pass over the word lists, no shuffle."""
+def diversity_stats(docs: DataFrame, words: WordSpec = LOWER, id_col: str = "doc_id", text_col: str = "text", words_col: str | None = None, as_struct: bool = False, only: tuple[str, ...] = MEASURES, **sizes) -> DataFrame:
+    """The fourteen measures, or those in ``only``: one Arrow pass over the word lists, no shuffle."""
     w = F.col(words_col) if words_col else words.column(F.col(text_col))
-    out = docs.select(id_col, diversity_udf(**sizes)(w).alias("diversity"))
-    return out if as_struct else out.select(id_col, *(F.col(f"diversity.{m}").alias(m) for m in MEASURES))
+    out = docs.select(id_col, diversity_udf(only=only, **sizes)(w).alias("diversity"))
+    return out if as_struct else out.select(id_col, *(F.col(f"diversity.{m}").alias(m) for m in only))
 
 
 def frequencies(words: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -76,8 +76,7 @@ def one_measure(docs: DataFrame, name: str, words: WordSpec = LOWER, **kw) -> Da
     """(id, measure): one of the fourteen by name."""
     if name not in MEASURES:
         raise KeyError(name)
-    out = diversity_stats(docs, words, **kw)
-    return out.select(out.columns[0], name)
+    return diversity_stats(docs, words, only=(name,), **kw)
 
 
 def ttr(words: Column) -> Column:

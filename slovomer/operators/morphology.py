@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import WordSpec
-from .words import first_analyses, listed_words, word_table
+from .words import first_analyses, listed_words, meet, word_table
 
 CATEGORIES = ("pos", "animacy", "aspect", "case", "gender", "involvement", "mood", "number", "person", "tense", "transitivity", "voice")
 
@@ -29,14 +29,14 @@ def checked(names: tuple[str, ...]) -> tuple[str, ...]:
 def tagged(words: DataFrame, lexicon: DataFrame, case_col: str = "gram_case", rank_col: str | None = None) -> DataFrame:
     """A word table (id, pos, word) with the twelve grammemes in a struct ``tag``.
 
-    The lexicon is reduced to one row a word before the join, which Spark broadcasts only if
-    it is small; otherwise both sides are hashed on the word.
+    The lexicon is reduced to one row a word before the join, see ``meet``.
     """
     if case_col in lexicon.columns and case_col != "case":
         lexicon = lexicon.withColumnRenamed(case_col, "case")
     code = F.concat_ws(_SEP, *(F.coalesce(F.col(c), F.lit("")) for c in CATEGORIES))
     first = first_analyses(lexicon, rank_col).select("key", "normal_form", F.struct(*CATEGORIES).alias("tag"), code.alias("code"))
-    return words.withColumn("key", F.lower("word")).join(first, "key", "left").drop("key")
+    spread = next(c for c in words.columns if c not in ("pos", "word"))
+    return meet(words.withColumn("key", F.lower("word")), first, spread).drop("key")
 
 
 def analyse(docs: DataFrame, lexicon: DataFrame, words: WordSpec = WordSpec(), id_col: str = "doc_id", text_col: str = "text", words_col: str | None = None, **kw) -> DataFrame:

@@ -11,30 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import span
+from ..sources.shared import checkpointed
 from .diversity import ttr
 
 
 def zipf_ranks(words: DataFrame, num_words: int | None = None) -> DataFrame:
     """(rank, word, cnt): ranks by frequency, ties by word.
 
-    The whole vocabulary gets its ranks without one task seeing all: counts sorted by range, and
-    each range numbered from where the one before ends.  With ``num_words`` only the top is sorted.
+    The whole vocabulary gets its ranks without one task seeing all: the counts are split by ranges of
+    (count, word), each range is numbered by itself, and starts where the ones before end.  With ``num_words``
+    only the top is sorted.
     """
     counts = words if "cnt" in words.columns else words.groupBy("word").agg(F.count("*").alias("cnt"))
     if num_words:
         top = counts.orderBy(F.desc("cnt"), "word").limit(num_words)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "word"))).select("rank", "word", "cnt")
-    # words of one count share a start: the number of words with a greater count; few distinct counts
-    sizes = counts.groupBy("cnt").agg(F.count("*").alias("size"))
-    starts = sizes.withColumn("start", F.sum("size").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)))
-    # the many words of a small count are numbered by prefix first
-    prefix = F.substring("word", 1, 2)
-    keyed = counts.withColumn("prefix", prefix)
-    groups = keyed.groupBy("cnt", "prefix").agg(F.count("*").alias("size"))
-    before = groups.withColumn("ahead", F.sum("size").over(Window.partitionBy("cnt").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = keyed.withColumn("k", F.row_number().over(Window.partitionBy("cnt", "prefix").orderBy("word")))
-    joined = numbered.join(before.select("cnt", "prefix", "ahead"), ["cnt", "prefix"]).join(starts.select("cnt", "start"), "cnt")
-    return joined.select((F.coalesce("start", F.lit(0)) + F.coalesce("ahead", F.lit(0)) + F.col("k")).cast("int").alias("rank"), "word", "cnt")
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "word")).cast("bigint")).select("rank", "word", "cnt")
+    # a global sort is one by ranges; the id's lower 33 bits number the rows of a range
+    ranged = checkpointed(counts.orderBy(F.desc("cnt"), "word").select("word", "cnt", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    return ranged.join(F.broadcast(starts), "part").select((F.col("start") + F.col("k") + 1).alias("rank"), "word", "cnt")
 
 
 def zipf_labels(num_points: int, num_labels: int = 10) -> list[int]:

@@ -114,9 +114,11 @@ def hist_syllables(spark: SparkSession, folder: str) -> DataFrame:
     return stats.histogram(_t(spark, folder, "documents"), "syllables")
 
 
-@query()
+@query(f"select doc_id, string_agg(key || ':' || cnt, ' ' order by key) as histogram from ({_hist('length(w)')}) group by doc_id")
 def hist_word_length_map(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.histogram_map(stats.histogram(_t(spark, folder, "documents"), "letters"))
+    """The map of each document, shown as its entries."""
+    maps = stats.histogram_map(stats.histogram(_t(spark, folder, "documents"), "letters"))
+    return maps.select("doc_id", F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat_ws(":", e["key"], e["value"])), " ").alias("histogram"))
 
 
 # Two texts with known results.
@@ -189,9 +191,7 @@ t as (select doc_id, word, lead(word) over w as b, lead(word, 2) over w as c fro
 g as (select doc_id, word from t union all select doc_id, word || '_' || b from t where b is not null union all select doc_id, word || '_' || b || '_' || c from t where c is not null)
 select word, count(*) as cnt, count(distinct doc_id) as docs from g group by word""")
 def ngrams_1_3(spark: SparkSession, folder: str) -> DataFrame:
-    table = words.word_table(_t(spark, folder, "documents"), WordSpec(lowercase=True, ngram_range=(1, 3)))
-    per = table.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return per.groupBy("word").agg(F.sum("n").alias("cnt"), F.count("*").alias("docs"))
+    return words.ngram_counts(_t(spark, folder, "documents"), WordSpec(lowercase=True, ngram_range=(1, 3)))
 
 
 _FIELDS = ("normal_form", "pos", "animacy", "aspect", "gram_case", "gender", "involvement", "mood", "number", "person", "tense", "transitivity", "voice")
@@ -205,11 +205,34 @@ def words_lemmas(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("size(words) > 0").select("doc_id", F.array_join("words", " ").alias("lemmas"))
 
 
-@query(f"with {_PLAIN} select doc_id, word, count(*) as cnt, min(pos) as first_pos, row_number() over (partition by doc_id order by count(*) desc, min(pos))::int as rank from tok group by doc_id, word qualify rank <= 10")
+_TOP_PER_DOC = f"with {_PLAIN} select doc_id, word, count(*) as cnt, min(pos) as first_pos, row_number() over (partition by doc_id order by count(*) desc, min(pos))::int as rank from tok group by doc_id, word qualify rank <= 10"
+
+
+@query(_TOP_PER_DOC)
 def top_words_per_doc(spark: SparkSession, folder: str) -> DataFrame:
+    return words.top_words_of(_t(spark, folder, "documents"), 10)
+
+
+@query(_TOP_PER_DOC)
+def top_words_of_table(spark: SparkSession, folder: str) -> DataFrame:
     return words.top_words(words.word_table(_t(spark, folder, "documents")), 10)
 
 
+@query(f"with {_PLAIN} select doc_id, tok.pos, word from tok where word not in (select word from common_words where word is not null)")
+def words_without_stoplist(spark: SparkSession, folder: str) -> DataFrame:
+    return words.without_stopwords(words.word_table(_t(spark, folder, "documents")), _t(spark, folder, "common_words"))
+
+
+@query(_unnested("string_split(text, ';')", "sent"))
+def sentences_by_function(spark: SparkSession, folder: str) -> DataFrame:
+    return _listed(_t(spark, folder, "documents"), SentSpec(lambda text: text.split(";")).column(F.col("text")), "sent")
+
+
+@query(_unnested(f"list_filter(string_split(text, ' '), lambda w: not contains({_q(PUNCTUATIONS)}, w))", "word"))
+def words_by_function(spark: SparkSession, folder: str) -> DataFrame:
+    return words.word_table(_t(spark, folder, "documents"), WordSpec(lambda text: text.split(" ")))
+
+
 @query(f"with {_PLAIN} select word, count(*) as cnt from tok group by word order by cnt desc, word limit 100")
 def top_words_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return words.top_words(words.word_table(_t(spark, folder, "documents")), 100, None)
@@ -222,44 +245,107 @@ def _lower_table(spark: SparkSession, folder: str) -> DataFrame:
     return words.word_table(_t(spark, folder, "documents"), diversity.LOWER)
 
 
-@query(f"""with {_LOW}, f as (select doc_id, word, count(*) as f from tok group by all), g as (select *, sum(f) over (partition by doc_id)::bigint as n from f),
+_FREQUENCY = f"""with {_LOW}, f as (select doc_id, word, count(*) as f from tok group by all), g as (select *, sum(f) over (partition by doc_id)::bigint as n from f),
 p as (select *, case when 42 > n then 0 else (1 - list_reduce(list_transform(range(42), lambda i: greatest(0, n - f - i) / nullif(n - i, 0)::double), lambda x, y: x * y)) / 42 end as h from g),
 a as (select doc_id, max(n) as n, count(*) as v, sum(h) as h, sum(f * (f - 1))::bigint as pairs, count(*) filter (f = 1) as hx from p group by doc_id), b as (select *, log10(n) as ln, log10(v) as lv from a)
 select doc_id, round(v / n::double, 9) as ttr, round(v / sqrt(n), 9) as rttr, round(v / sqrt(2 * n), 9) as cttr, round(coalesce(lv / nullif(ln, 0), 0), 9) as httr,
  round(case when n <= 1 or v <= 1 then 0 when ln = 1 then 0 else log10(lv) / log10(ln) end, 9) as sttr, round(coalesce((ln - lv) / nullif(ln * ln, 0), 0), 9) as mttr,
  round(case when n = v then 0 else ln * ln / (ln - lv) end, 9) as dttr, round(case when n < 50 then -1 else h end, 9) as hdd, round(coalesce(n * (n - 1) / nullif(pairs, 0)::double, 0), 9) as simpson_index,
- round(case when hx = v then 0 else 100 * ln / (1 - hx / v::double) end, 9) as hapax_index from b""")
+ round(case when hx = v then 0 else 100 * ln / (1 - hx / v::double) end, 9) as hapax_index from b"""
+_MATTR = f"""with {_LOW}, p as (select doc_id, pos, coalesce(lag(pos) over (partition by doc_id, word order by pos), -1) as prev, count(*) over (partition by doc_id) as n from tok)
+select doc_id, round(case when max(n) < 51 then count(*) filter (prev < 0) / max(n)::double else sum(greatest(0, least(pos, n - 50) - greatest(prev + 1, pos - 49, 0) + 1)) / (50.0::double * (max(n) - 49)) end, 9) as mattr from p group by doc_id"""
+_MSTTR = f"""with {_LOW}, s as (select doc_id, word, pos, count(*) over (partition by doc_id) as n from tok), q as (select distinct doc_id, n, case when n < 51 then 0 else pos // 50 end as seg, word from s where n < 51 or pos // 50 < n // 50)
+select doc_id, round(case when max(n) < 51 then count(*) / max(n)::double else count(*) / ((max(n) // 50) * 50.0::double) end, 9) as msttr from q group by doc_id"""
+_BY_FREQUENCY = ("ttr", "rttr", "cttr", "httr", "sttr", "mttr", "dttr", "hdd", "simpson_index", "hapax_index")
+
+
+def _measured(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """Measures of the texts that have words, row by row."""
+    lists = _t(spark, folder, "documents").select("doc_id", diversity.LOWER.column(F.col("text")).alias("words")).where("size(words) > 0")
+    return _rounded(diversity.diversity_stats(lists, words_col="words", only=names))
+
+
+@query(_FREQUENCY)
 def frequency_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return _measured(spark, folder, *_BY_FREQUENCY)
+
+
+@query(_FREQUENCY)
+def frequency_measures_of_table(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(diversity.frequency_measures(_lower_table(spark, folder)))
 
 
-@query(f"""with {_LOW}, p as (select doc_id, pos, coalesce(lag(pos) over (partition by doc_id, word order by pos), -1) as prev, count(*) over (partition by doc_id) as n from tok)
-select doc_id, round(case when max(n) < 51 then count(*) filter (prev < 0) / max(n)::double else sum(greatest(0, least(pos, n - 50) - greatest(prev + 1, pos - 49, 0) + 1)) / (50.0::double * (max(n) - 49)) end, 9) as mattr from p group by doc_id""")
+@query(_MATTR)
 def mattr(spark: SparkSession, folder: str) -> DataFrame:
+    return _measured(spark, folder, "mattr")
+
+
+@query(_MATTR)
+def mattr_of_table(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(diversity.mattr(_lower_table(spark, folder)))
 
 
-@query(f"""with {_LOW}, s as (select doc_id, word, pos, count(*) over (partition by doc_id) as n from tok), q as (select distinct doc_id, n, case when n < 51 then 0 else pos // 50 end as seg, word from s where n < 51 or pos // 50 < n // 50)
-select doc_id, round(case when max(n) < 51 then count(*) / max(n)::double else count(*) / ((max(n) // 50) * 50.0::double) end, 9) as msttr from q group by doc_id""")
+@query(_MSTTR)
 def msttr(spark: SparkSession, folder: str) -> DataFrame:
+    return _measured(spark, folder, "msttr")
+
+
+@query(_MSTTR)
+def msttr_of_table(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(diversity.msttr(_lower_table(spark, folder)))
 
 
-@query()
-def diversity_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(diversity.diversity_stats(_t(spark, folder, "documents")))
+# positions of the occurrence before, read forwards (f) and backwards (b)
+_BEFORE = f"""{_LOW}, p as (select doc_id, pos, coalesce(lag(pos) over w, -1) as f, coalesce(count(*) over (partition by doc_id) - 1 - lead(pos) over w, -1) as b, count(*) over (partition by doc_id) as n
+ from tok window w as (partition by doc_id, word order by pos)),
+l as (select doc_id, max(n) as n, list(f order by pos) as f, list(b order by pos desc) as b from p group by doc_id)"""
+
+
+def _factors(before: str) -> str:
+    """SQL of the number of factors of a list: a fold with the start (s), types (t) and factors (f) so far."""
+    step = f"list_transform({before}, lambda p, i: {{'k': i::bigint, 's': 0::bigint, 't': 0::bigint, 'f': 0::double, 'p': p::bigint}})"
+    types, size = "(a.t + (x.p < a.s)::bigint)", "(x.k - a.s)"
+    full = f"({size} >= 10 and {types} / {size}::double < 0.72)"
+    return (
+        f"list_reduce(list_prepend({{'k': 0::bigint, 's': 0::bigint, 't': 0::bigint, 'f': 0::double, 'p': 0::bigint}}, {step}), lambda a, x: {{'k': x.k, 's': case when x.k < n and {full} then x.k else a.s end, "
+        f"'t': case when x.k < n and {full} then 0 else {types} end, 'f': case when x.k = n then a.f + (1 - {types} / {size}::double) / (1 - 0.72::double) when {full} then a.f + 1 else a.f end, 'p': x.p}}).f"
+    )
+
+
+def _moving(before: str) -> str:
+    """SQL of the mean size of the first factor from each start."""
+    grown = f"select a.doc_id, a.pos as s, b.pos - a.pos + 1 as z, sum((b.prev < a.pos)::int) over (partition by a.doc_id, a.pos order by b.pos) as t from {before} a join {before} b on a.doc_id = b.doc_id and b.pos >= a.pos"
+    return f"select doc_id, sum(z) / count(*)::double as m from (select doc_id, s, min(z) as z from ({grown}) where z >= 10 and t / z::double < 0.72 group by 1, 2) group by 1"
 
 
-@query()
+_MTLD = f"m as (select doc_id, (coalesce(n / nullif({_factors('f')}, 0), 0) + coalesce(n / nullif({_factors('b')}, 0), 0)) / 2 as mtld from l)"
+_MAMTLD = f"""fw as (select doc_id, pos, f as prev from p), bw as (select doc_id, n - 1 - pos as pos, b as prev from p), xs as ({_moving('fw')}), ys as ({_moving('bw')}),
+mm as (select l.doc_id, (coalesce(xs.m, 1) + coalesce(ys.m, 1)) / 2 as mamtld from l left join xs using (doc_id) left join ys using (doc_id))"""
+
+
+def _of_all(values: dict[str, tuple[str, float]], joins: str) -> str:
+    """A select list over all documents: null for a null text, a value of its own for one without words."""
+    return "select d.doc_id, " + ", ".join(f"case when d.text is not null then round(coalesce({x}, {none}), 9) end as {name}" for name, (x, none) in values.items()) + f" from documents d {joins}"
+
+
+@query(f"with {_BEFORE}, {_MTLD} " + _of_all({"mtld": ("m.mtld", 0)}, "left join m using (doc_id)"))
 def mtld(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(diversity.one_measure(_t(spark, folder, "documents"), "mtld"))
 
 
-@query()
+@query(f"with {_BEFORE}, {_MAMTLD} " + _of_all({"mamtld": ("mm.mamtld", 1)}, "left join mm using (doc_id)"))
 def mamtld(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(diversity.one_measure(_t(spark, folder, "documents"), "mamtld"))
 
 
+_ALL = {**{x: (f"fq.{x}", -1 if x == "hdd" else 0) for x in _BY_FREQUENCY}, "mattr": ("ma.mattr", 0), "msttr": ("ms.msttr", 0), "mtld": ("m.mtld", 0), "mamtld": ("mm.mamtld", 1)}
+
+
+@query(f"with {_BEFORE}, {_MTLD}, {_MAMTLD}, fq as ({_FREQUENCY}), ma as ({_MATTR}), ms as ({_MSTTR}) " + _of_all(_ALL, " ".join(f"left join {t} using (doc_id)" for t in ("m", "mm", "fq", "ma", "ms"))))
+def diversity_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(diversity.diversity_stats(_t(spark, folder, "documents")))
+
+
 @query("select doc_id, len(words) as n, round(case when len(words) = 0 then 0 else len(list_distinct(words)) / len(words)::double end, 9) as ttr from token_lists where words is not null")
 def diversity_listed(spark: SparkSession, folder: str) -> DataFrame:
     lists = _t(spark, folder, "token_lists").where("words is not null")
@@ -267,12 +353,12 @@ def diversity_listed(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(lists.select("doc_id", F.size("words").cast("bigint").alias("n")).join(out, "doc_id").select("doc_id", "n", "ttr"))
 
 
-@query(f"with {_LOW}, c as (select word, count(*) as cnt from tok group by word) select row_number() over (order by cnt desc, word)::int as rank, word, cnt from c")
+@query(f"with {_LOW}, c as (select word, count(*) as cnt from tok group by word) select row_number() over (order by cnt desc, word) as rank, word, cnt from c")
 def zipf_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return views.zipf_ranks(_lower_table(spark, folder))
 
 
-@query(f"with {_LOW}, c as (select word, count(*) as cnt from tok group by word) select row_number() over (order by cnt desc, word)::int as rank, word, cnt from c qualify rank <= 50")
+@query(f"with {_LOW}, c as (select word, count(*) as cnt from tok group by word) select row_number() over (order by cnt desc, word) as rank, word, cnt from c qualify rank <= 50")
 def zipf_top(spark: SparkSession, folder: str) -> DataFrame:
     return views.zipf_ranks(_lower_table(spark, folder), 50)
 
@@ -282,6 +368,11 @@ def zipf_theory(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(views.zipf_theory(spark, 1000.0, 100, 1.5))
 
 
+@query("select i::int as label, floor(pow(10, -0.5 + i * (log10(999.5) + 0.5) / 9) + 1e-9)::int as point from range(10) t(i)")
+def zipf_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(views.zipf_labels(1000.5, 10))), "label int, point int")
+
+
 _PRINT = """s as (select doc_id, words, len(words) as n, case when len(words) >= 10 then len(words) - 10 + 1 else 0 end as k from token_lists where words is not null),
 g as (select doc_id, list_concat(list_transform(range(k), lambda i: words[i + 1 : i + 10]), [words[k + 1 :]]) as segs from s),
 e as (select doc_id, unnest(range(len(segs)))::int as seg_pos, unnest(segs) as seg from g),
@@ -293,6 +384,12 @@ def fingerprint_ttr(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(views.fingerprint(_t(spark, folder, "token_lists")))
 
 
+@query(f"with {_PRINT.replace('m as (select doc_id, seg_pos, case when len(seg) = 0 then 0 else len(list_distinct(seg)) / len(seg)::double end', 'm as (select doc_id, seg_pos, case when len(seg) = 0 then 0 else list_sum(list_transform(seg, lambda w: length(w))) / len(seg)::double end')} select doc_id, seg_pos, round(metric, 9) as metric from m")
+def fingerprint_by_function(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean word length of each segment, by a Python function."""
+    return _rounded(views.fingerprint(_t(spark, folder, "token_lists"), metric=lambda seg: sum(map(len, seg)) / len(seg) if seg else 0.0, python_metric=True))
+
+
 @query(f"""with {_PRINT}, c as (select *, greatest(ceil(count(*) over (partition by doc_id) / 8.0), 1)::int as cols from m)
 select doc_id, seg_pos, round(metric, 9) as metric, (seg_pos // cols)::int as grid_row, (seg_pos % cols)::int as grid_col, round(metric / (select max(metric) from m), 9) as shade from c""")
 def fingerprint_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,6 +446,12 @@ def morph_stats_listed(spark: SparkSession, folder: str) -> DataFrame:
     return morphology.morph_stats(tags, "pos", "tense", filter_none=True)
 
 
+@query("select doc_id, category, value, cnt, first_pos, row_number() over (partition by doc_id, category order by cnt desc, first_pos)::int as rank from (" + _morph_sql(_LISTED, "", ("pos", "number")) + ")")
+def morph_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    tags = morphology.analyse(_t(spark, folder, "token_lists"), _t(spark, folder, "lexicon"), words_col="words")
+    return morphology.ordered_stats(morphology.morph_stats(tags, "pos", "number"))
+
+
 @query(f"with {_FIRST}, {_LISTED} select doc_id, tok.pos, word, first.pos as part, gram_case as case_, number from tok left join first on key = lower(word)")
 def morph_explain(spark: SparkSession, folder: str) -> DataFrame:
     tags = morphology.analyse(_t(spark, folder, "token_lists"), _t(spark, folder, "lexicon"), words_col="words")
@@ -357,10 +460,24 @@ def morph_explain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STRIP = "regexp_replace(content, '^[\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}\\p{Z}\\x{b}\\x{1c}-\\x{1f}]+|[\\s\\x{85}\\x{a0}\\p{Z}\\x{b}\\x{1c}-\\x{1f}]+$', '', 'g')"
-_PARSED = f"""named as (select path, string_split({_STRIP}, chr(10) || chr(10)) as parts from raw_files where regexp_matches(list_last(string_split(path, '/')), '^[0-9]')),
+
+
+def _parsed(layout: corpus.Layout) -> str:
+    """SQL of a layout's records from raw_files."""
+    number = lambda k: f"case when regexp_full_match(trim(v[{k}]), '[+-]?[0-9]+') then try_cast(trim(v[{k}]) as int) end"
+    of = {"int": number, "boolean": lambda k: f"({number(k)}) <> 0", "string": lambda k: f"v[{k}]"}
+    typed = ", ".join(f"{of[t](k)} as {n}" for k, (n, t) in enumerate(layout.fields, 1))
+    good = " and ".join(f"{n} is not null" for n in layout.names)
+    return f"""named as (select path, string_split({_STRIP}, chr(10) || chr(10)) as parts from raw_files where regexp_matches(list_last(string_split(path, '/')), '^[0-9]')),
 h as (select path, parts, list_transform(string_split(parts[1], chr(10)), lambda x: case when len(string_split(x, ':')) > 1 then substring(string_split(x, ':')[2], 2) end) as v from named),
-t as (select path, parts, v, case when regexp_full_match(trim(v[1]), '[+-]?[0-9]+') then try_cast(trim(v[1]) as int) end as grade, case when regexp_full_match(trim(v[3]), '[+-]?[0-9]+') then try_cast(trim(v[3]) as int) end as year from h),
-p as (select path as file, coalesce(len(parts) = 2 and len(v) >= 7 and grade is not null and year is not null and v[2] is not null and v[4] is not null and v[5] is not null and v[6] is not null and v[7] is not null, false) as ok, grade, v[2] as book, year, v[4] as category, v[5] as type, v[6] as subject, v[7] as author, parts[2] as text from t)"""
+t as (select path, parts, v, {typed} from h),
+p as (select path as file, coalesce(len(parts) = 2 and len(v) >= 7 and {good}, false) as ok, {", ".join(layout.names)}, parts[2] as text from t)"""
+
+
+_PARSED = _parsed(corpus.PRIMER)
+# works records written as files again
+_WORKS_HEADS = (("Том", "volume"), ("Год", "year"), ("Тип", "type"), ("Перевод", "is_translation"), ("Источник", "source"), ("Название", "subject"), ("Тема", "topic"))
+_WORKS_RAW = "raw_files as (select file as path, " + " || chr(10) || ".join(f"'{h}: ' || coalesce({c + '::int' if c == 'is_translation' else c}::varchar, '')" for h, c in _WORKS_HEADS) + " || chr(10) || chr(10) || coalesce(text, '') as content from works_records)"
 
 
 @query(f"with {_PARSED} select file, grade, book, year, category, type, subject, author, text from p where ok")
@@ -373,6 +490,18 @@ def corpus_malformed(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.parse_files(_t(spark, folder, "raw_files"), corpus.PRIMER, malformed="keep").where("not ok").select("file")
 
 
+@query(f"with {_WORKS_RAW}, {_parsed(corpus.WORKS)} select file, volume, year, type, is_translation, source, subject, topic, text from p where ok")
+def corpus_parse_works(spark: SparkSession, folder: str) -> DataFrame:
+    heads = [F.concat(F.lit(f"{h}: "), F.coalesce(F.col(c).cast("int").cast("string") if c == "is_translation" else F.col(c).cast("string"), F.lit(""))) for h, c in _WORKS_HEADS]
+    raw = _t(spark, folder, "works_records").select(F.col("file").alias("path"), F.concat_ws("\n", *heads, F.lit(""), F.coalesce("text", F.lit(""))).alias("content"))
+    return corpus.parse_files(raw, corpus.WORKS, malformed="drop").select("file", "volume", "year", "type", "is_translation", "source", "subject", "topic", "text")
+
+
+@query("select rec_id, category, length(text) as n from primer_records where category = 'Зима' and length(text) <= 500")
+def corpus_filter_category(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.filter_records(_t(spark, folder, "primer_records"), category="Зима", max_len=500).select("rec_id", "category", F.length("text").cast("bigint").alias("n"))
+
+
 @query("select rec_id, grade, year, type, category from primer_records where grade = 3 and type = 'Рассказ' and length(text) >= 100 and length(text) <= 600")
 def corpus_filter_primer(spark: SparkSession, folder: str) -> DataFrame:
     got = corpus.filter_records(_t(spark, folder, "primer_records"), grade=3, text_type="Рассказ", min_len=100, max_len=600)
@@ -403,24 +532,75 @@ def corpus_limit(spark: SparkSession, folder: str) -> DataFrame:
 @query("select count(*) as texts, sum(n_words)::bigint as n_words, sum(n_sents)::bigint as n_sents from (" + _counts("documents", "doc_id") + ")")
 def stream_basic_stats(spark: SparkSession, folder: str) -> DataFrame:
     """The row-local statistics over a stream of the documents, summed when it has ended."""
-    from .streaming.live import live_stats, read_stream
+    from .streaming.live import landed, live_stats, read_stream
 
-    schema = _t(spark, folder, "documents").schema
-    sums = live_stats(read_stream(spark, f"{folder}/documents.parquet*", schema)).agg(F.count("*").alias("texts"), F.sum("n_words").alias("n_words"), F.sum("n_sents").alias("n_sents"))
-    run = sums.writeStream.outputMode("complete").format("memory").queryName("stream_basic_stats").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table("stream_basic_stats")
+    docs = read_stream(spark, f"{folder}/documents.parquet*", _t(spark, folder, "documents").schema)
+    return landed(live_stats(docs)).agg(F.count("*").alias("texts"), F.sum("n_words").alias("n_words"), F.sum("n_sents").alias("n_sents"))
 
 
 @query(f"select strftime(added_at, '%Y-%m-%d') as day, count(*) as texts, sum(coalesce(len({_WORDS}), 0))::bigint as words from documents where added_at is not null group by 1")
 def stream_words_by_day(spark: SparkSession, folder: str) -> DataFrame:
-    from .streaming.live import read_stream, words_by_window
+    from .streaming.live import landed, read_stream, words_by_window
 
-    schema = _t(spark, folder, "documents").schema
-    daily = words_by_window(read_stream(spark, f"{folder}/documents.parquet*", schema), width="1 day")
-    run = daily.writeStream.outputMode("complete").format("memory").queryName("stream_words_by_day").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table("stream_words_by_day").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "texts", "words")
+    docs = read_stream(spark, f"{folder}/documents.parquet*", _t(spark, folder, "documents").schema)
+    daily = landed(words_by_window(docs, width="1 day"), ("window_start", "window_end"))
+    return daily.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "texts", "words")
+
+
+@query(_counts("documents", "doc_id"))
+def stage_basic(spark: SparkSession, folder: str) -> DataFrame:
+    from .plans.pipeline import BasicStage
+
+    return BasicStage().transform(_t(spark, folder, "documents")).select("doc_id", *(F.col(f"basic.{c}").alias(c) for c in S.COUNTS))
+
+
+@query(_counts("documents", "doc_id", _INDICES))
+def stage_readability(spark: SparkSession, folder: str) -> DataFrame:
+    from .plans.pipeline import ReadabilityStage
+
+    return _rounded(ReadabilityStage("r").transform(_t(spark, folder, "documents")).select("doc_id", *(F.col(f"r.{c}").alias(c) for c in S.READABILITY)))
+
+
+@query(f"select doc_id, round(case when len(w) = 0 then 0 else len(list_distinct(w)) / len(w)::double end, 9) as ttr, round(case when len(w) = 0 then 0 else len(list_distinct(w)) / sqrt(len(w)) end, 9) as rttr from (select doc_id, list_filter({_WORDS}, lambda x: length(x) >= 4) as w from documents)")
+def stage_diversity(spark: SparkSession, folder: str) -> DataFrame:
+    """With an extractor of its own: words of four letters and more, in their case."""
+    from .plans.pipeline import DiversityStage
+
+    out = DiversityStage(words=WordSpec(min_len=4)).transform(_t(spark, folder, "documents"))
+    return _rounded(out.select("doc_id", F.col("diversity.ttr").alias("ttr"), F.col("diversity.rttr").alias("rttr")))
+
+
+@query("select doc_id, category, coalesce(value, 'None') as value, cnt from (" + _morph_sql(_PLAIN) + ")")
+def stage_morph(spark: SparkSession, folder: str) -> DataFrame:
+    from .plans.pipeline import MorphStage
+
+    out = MorphStage(_t(spark, folder, "lexicon")).transform(_t(spark, folder, "documents"))
+    return out.select("doc_id", F.explode("morph").alias("category", "m")).select("doc_id", "category", F.explode("m").alias("value", "cnt"))
+
+
+@query(_counts("documents", "doc_id", _INDICES))
+def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """Readability by the registered SQL functions."""
+    from .plans.pipeline import register
+
+    register(spark, "t_")
+    docs = _t(spark, folder, "documents").selectExpr("doc_id", "text", "t_words(text) as w", "t_sentences(text) as s")
+    cut = docs.selectExpr("doc_id", f"size(w) as n", "size(s) as m", "t_count_letters(text) as letters", "size(filter(w, x -> length(x) >= 6)) as long", "t_count_syllables(array_join(w, ' ')) as y",
+                          f"size(filter(w, x -> length(x) - length(translate(x, '{RU_VOWELS}', '')) >= 4)) as hard").selectExpr("*", "n > 0 as told")
+    told = {
+        "flesch_kincaid_grade": "t_calc_flesch_kincaid_grade(y, n, m)", "flesch_reading_easy": "t_calc_flesch_reading_easy(y, n, m)", "coleman_liau_index": "t_calc_coleman_liau_index(letters, n, m)",
+        "smog_index": "t_calc_smog_index(hard, m)", "automated_readability_index": "t_calc_automated_readability_index(letters, n, m)", "lix": "t_calc_lix(long, n, m)",
+    }
+    return _rounded(cut.selectExpr("doc_id", *(f"if(told, {e}, null) as {k}" for k, e in told.items())))
+
+
+@query("select doc_id, round(ttr, 9) as ttr, round(hdd, 9) as hdd, round(mattr, 9) as mattr from (" + _of_all({k: _ALL[k] for k in ("ttr", "hdd", "mattr")}, "left join fq using (doc_id) left join ma using (doc_id)").join((f"with fq as ({_FREQUENCY}), ma as ({_MATTR}) ", ")")))
+def sql_diversity_functions(spark: SparkSession, folder: str) -> DataFrame:
+    from .plans.pipeline import register
+
+    register(spark, "t_")
+    docs = _t(spark, folder, "documents").selectExpr("doc_id", "transform(t_words(text), w -> lower(w)) as w")
+    return _rounded(docs.selectExpr("doc_id", "t_calc_ttr(w) as ttr", "t_calc_hdd(w, 42) as hdd", "t_calc_mattr(w, 50) as mattr"))
 
 
 #: What bench.py times.

@@ -44,4 +44,16 @@ def test_explain_and_table(tags):
 def test_stage(tags):
     docs, lexicon, _ = tags
     got = {r.doc_id: r.morph for r in pipeline.MorphStage(lexicon).transform(docs).collect()}
+    assert set(got[1]["pos"]) - {"None"} == {"ADVB", "CONJ", "INFN", "VERB"} and sum(got[1]["tense"].values()) == sum(got[1]["pos"].values())
+    got = {r.doc_id: r.morph for r in pipeline.MorphStage(lexicon, filter_none=True).transform(docs).collect()}
     assert got[1]["pos"] == {"ADVB": 1, "CONJ": 4, "INFN": 2, "VERB": 4} and got[2] is None
+
+
+def test_long_lexicons(tags, monkeypatch):
+    """What a lexicon too long to be sent says is the same."""
+    from slovomer.operators import words as W
+
+    docs, lexicon, _ = tags
+    want = sorted(map(repr, M.morph_stats(M.analyse(docs, lexicon)).collect()))
+    monkeypatch.setattr(W.meet, "__defaults__", (0, 3))
+    assert sorted(map(repr, M.morph_stats(M.analyse(docs, lexicon)).collect())) == want

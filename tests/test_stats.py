@@ -74,3 +74,29 @@ def test_stages_and_functions(docs, spark):
     assert r.basic.n_words == 15 and r.read.lix == pytest.approx(35.0) and r.diversity.ttr == pytest.approx(11 / 15)
     pipeline.register(spark, "t_")
     assert spark.sql("select t_syllables('молоко'), size(t_words('а б, в')), t_type_token_ratio(array('а', 'а'))").first()[:3] == (3, 3, 0.5)
+
+
+def test_saved_stages(docs, tmp_path):
+    import re
+
+    from slovomer.functions.tokens import SentSpec, WordSpec
+
+    spec = WordSpec(re.compile(r"[ ,]+", re.IGNORECASE), lowercase=True, min_len=3, stopwords=("нет",))
+    for stage in (pipeline.BasicStage("b", words=spec, sents=SentSpec(min_len=2)), pipeline.DiversityStage(words=spec), pipeline.DiversityStage()):
+        stage.write().overwrite().save(str(tmp_path / "stage"))
+        again = type(stage).load(str(tmp_path / "stage"))
+        assert sorted(map(repr, again.transform(docs).collect())) == sorted(map(repr, stage.transform(docs).collect()))
+
+
+def test_diversity_stage_uses_its_words(docs):
+    from slovomer.functions.tokens import WordSpec
+
+    got = pipeline.DiversityStage(words=WordSpec(min_len=99)).transform(docs).where("doc_id = 1").first()
+    assert got.diversity.ttr == 0 and pipeline.DiversityStage().transform(docs).where("doc_id = 1").first().diversity.ttr > 0
+
+
+def test_sql_functions(docs, spark):
+    names = pipeline.register(spark, "s_")
+    assert "s_calc_mtld" in names and "s_calc_smog_index" in names
+    r = spark.sql("select s_ngrams(array('а', 'б', 'в'), 2), s_ngrams(array('а'), 2), s_sentences('Да. Нет!'), s_calc_lix(1, 4, 2), s_calc_smog_index(4, 2, 1, 2, 0), s_calc_ttr(array('а', 'а')), s_calc_msttr(array('а', 'б', 'а', 'б'), 2), s_calc_ttr(null)").first()
+    assert tuple(r) == (["а_б", "б_в"], [], ["Да.", "Нет!"], 27.0, 2.0, 0.5, 1.0, None)

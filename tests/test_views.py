@@ -64,3 +64,11 @@ def test_keyword_at_both_ends(spark):
             if "к" in (g[0], g[-1]):
                 want[" ".join(g)] = want.get(" ".join(g), 0) + 1
     assert got == want
+
+
+def test_ranks_over_ranges(spark):
+    rows = [(f"слово{k:04d}", 1 + k % 3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "word string, cnt long").repartition(7)
+    got = views.zipf_ranks(df).collect()
+    want = [w for w, c in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert [r.word for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 3001))
