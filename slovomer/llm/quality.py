@@ -2,10 +2,15 @@
 
 Method: every line of a text becomes a distribution over character classes and
 signs of structure (item markers, gaps, leaders, repeated words, function words).
-Jensen-Shannon divergence compares it with the profiles of prose in alphabetic,
-vowel-less and spaceless scripts and of lists, tables, indexes and junk; the nearest
-profile is the line's, and the profile of most of a text's visible characters the
-text's.  Basic counts come along.
+Jensen-Shannon divergence compares it with the profiles of prose, one for each language
+or script that the collection holds, of prose garbled by a wrong encoding, and of lists, tables,
+indexes and junk; the nearest profile is the line's, and the profile of most of a text's
+visible characters the text's.  Basic counts come along.
+
+The profiles are fitted first, to the lines of ``FIT_DOCUMENTS`` documents (about as many, by
+a hash of the id): clean lines with function words of a language give its prose, the same lines
+put through pairs of encodings the garbled ones, and lines of a plain shape the structures.  A profile
+of which fewer than ``FIT_LINES`` lines are found stays as it is in ``PROFILES``.
 
 Defined results for odd input: null and blank texts get zero counts, null ratios and
 the profile ``blank``; a text with signs but no letter in a word is ``signs``; very
@@ -18,7 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from operator import eq
 
@@ -33,8 +38,9 @@ CLASSES = ("vowel", "consonant", "letter", "capital", "digit", "space", "stop",
 _K = {c: k for k, c in enumerate(CLASSES)}
 N_CHAR = 12  # the first twelve are classes of characters
 
-# The structural profiles, as shares over CLASSES in order (fitted by ``fit_profiles``
-# to the lines of the sf0.1 documents that the rules of its docstring label).
+#: Documents to which the profiles are fitted, about, and lines that a profile needs.
+FIT_DOCUMENTS, FIT_LINES = 5_000, 30
+# Profiles to start from, as shares over CLASSES in order.
 PROFILES: dict[str, tuple[float, ...]] = {
     "garbled cp1251 as koi8_u": (0.0259, 0.0343, 0.0, 0.7965, 0.0004, 0.1148, 0.0099, 0.0073, 0.0, 0.0007, 0.0034, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0067, 0.0),
     "garbled cp866 as cp1251": (0.0625, 0.2014, 0.0, 0.2149, 0.0029, 0.1986, 0.0158, 0.0058, 0.0564, 0.0013, 0.1807, 0.0, 0.0, 0.0, 0.0, 0.0188, 0.0408, 0.0),
@@ -101,6 +107,8 @@ _MARKER = re.compile(r"[ \t]*(?:\d{1,3}[).]|[-•*·▪◦‣–]|[^\W\d_]\))[ \
 _GAP = re.compile(r"(?<=\S)(?: {3,}|\t+| [|»] )(?=\S)")
 _LEADER = re.compile(r"[.·_]{4,}|(?:\. ){3,}")
 _REFERENCE = re.compile(r"\d[–-]\d")
+_SCRIPTS = {"kana": "\u3040-\u30ff", "han": "\u3400-\u9fff", "thai": "\u0e00-\u0e7f", "devanagari": "\u0900-\u097f", "arabic": "\u0600-\u06ff", "georgian": "\u10a0-\u10ff", "armenian": "\u0530-\u058f"}
+_SCRIPT = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 _UNSPACED = re.compile(r"[A-Za-z0-9+/=]{24,}")
 
 
@@ -157,7 +165,10 @@ def _profiles() -> tuple[list[str], np.ndarray]:
     return list(PROFILES), np.array(list(PROFILES.values()))
 
 
-def measure_many(texts: list[str | None], common: frozenset[str]) -> list[tuple]:
+Profiles = tuple[list[str], np.ndarray]
+
+
+def measure_many(texts: list[str | None], common: frozenset[str], fitted: Profiles | None = None) -> list[tuple]:
     """For each text: characters, words, lines, mean word length, symbol ratio, stop-line share, common share,
     digit share, divergence from the nearest prose profile, share of structure, profile."""
     out: list[tuple] = [(len(t or ""), 0, 0, None, None, None, None, None, None, None, "blank") for t in texts]
@@ -167,7 +178,7 @@ def measure_many(texts: list[str | None], common: frozenset[str]) -> list[tuple]
     shown = [texts[k] if texts[k].isascii() or not _TOUCHED.search(texts[k]) else texts[k].translate(_FORMS) for k in told]
     counts, visible, basics = line_table("\n".join(shown), common)
     first = np.cumsum([0, *(t.count("\n") + 1 for t in shown[:-1])])
-    names, profiles = _profiles()
+    names, profiles = fitted or _profiles()
     prose = np.array([x.startswith(PROSE_PREFIXES) for x in names])
     sums = np.maximum(counts.sum(1), 1)
     nearest = np.concatenate([divergence(counts[k : k + 4096] / sums[k : k + 4096, None], profiles).argmin(1) for k in range(0, len(counts), 4096)])
@@ -204,15 +215,25 @@ TOGETHER = 1 << 19
 STATISTICS = "chars int, words int, lines int, mean_word_length double, symbol_ratio double, stop_line_share double, common_share double, digit_share double, divergence double, structure_share double, profile string"
 
 
-def quality_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def words_by_language(common_words: DataFrame) -> dict[str, frozenset[str]]:
+    """Function words of each language (``""`` if the table has no ``lang``); more than 100,000 are refused."""
+    lang = F.coalesce("lang", F.lit("")) if "lang" in common_words.columns else F.lit("")
+    rows = common_words.where("word is not null").select(F.lower("word").alias("w"), lang.alias("lang")).distinct().limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("the list of common words is too long for the driver")
+    return {x: frozenset(r.w for r in rows if r.lang == x) for x in sorted({r.lang for r in rows})}
+
+
+def quality_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: Profiles | None = None) -> DataFrame:
     """One row of statistics and a structural profile for each document; row-local, no shuffle.
 
-    ``common_words`` (column ``word``) is a short fixed list; more than 100,000 distinct words are refused.
+    ``common_words`` (columns ``word`` and, if it has one, ``lang``) is a short fixed list; ``fitted`` comes
+    from ``fit_profiles``, which runs over ``docs`` if it isn't given.
     """
-    rows = common_words.where("word is not null").select(F.lower("word").alias("w")).distinct().limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the list of common words is too long for the driver")
-    common = frozenset(r.w for r in rows)
+    languages = words_by_language(common_words)
+    common = frozenset().union(*languages.values())
+    if fitted is None:
+        fitted = fit_profiles(docs, languages, id_col, text_col)
     id_type = dict(docs.dtypes)[id_col]
     names = [x.split()[0] for x in STATISTICS.split(", ")]
 
@@ -222,7 +243,7 @@ def quality_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "
             for k, t in enumerate(texts):
                 size += len(t or "")
                 if size > TOGETHER or k == len(texts) - 1:
-                    out += measure_many(texts[at : k + 1], common)
+                    out += measure_many(texts[at : k + 1], common, fitted)
                     at, size = k + 1, 0
             table = pd.DataFrame(out, columns=names)
             table.insert(0, "id", b["id"].to_numpy())
@@ -236,48 +257,93 @@ def mostly_structure(statistics: DataFrame) -> DataFrame:
     return statistics.where("structure_share > 0.5")
 
 
-def fit_profiles(texts: Iterable[tuple[str, str | None]], common: frozenset[str]) -> dict[str, tuple[float, ...]]:
-    """Profiles from (text, kind of garbling or None): lines of garbled texts, and lines labelled by
-    shape: marker, gap, leader, references, unspaced run, symbols, no vowel, repetition, separators;
-    of the rest, long lines with function words are prose.  A profile needs two lines, one of garbled text ten."""
-    sums: dict[str, np.ndarray] = {}
-    for text, garbled in texts:
-        if not text or not text.strip():
+#: Encodings (written in, read as) through which clean lines are put to see what garbled prose is like.
+GARBLINGS = (("utf-8", "cp1251"), ("utf-8", "cp1252"), ("koi8-u", "cp1251"), ("cp1251", "koi8-u"), ("cp866", "cp1251"))
+
+
+def _shape(k: dict[str, float], v: float) -> str | None:
+    """What a line is by its plain shape; "prose" for a line that has none and is long enough, None for no clear one."""
+    letters = k["vowel"] + k["consonant"] + k["letter"] + k["capital"]
+    if k["unspaced"] >= 24:
+        return "unspaced_run"
+    if k["repeat"] > max(12, 0.5 * v):
+        return "repetition"
+    if letters < 0.35 * v and k["digit"] > 0.5 * v:
+        return "numbers"
+    if letters < 0.35 * v and k["symbol"] > 0.3 * v:
+        return "symbols"
+    if k["gap"] >= 12:
+        return "table" if k["digit"] > 0.1 * v else "menu"
+    if k["leader"] >= 12:
+        return "index"
+    if k["leader"] >= 6 and k["digit"] > 0.15 * v:
+        return "references"
+    if k["marker"] and v < 60:
+        return "list"
+    if v > 20 and letters > 0.8 * v and k["vowel"] + k["letter"] == 0 and k["consonant"] > 0.8 * v:
+        return "letters"
+    if k["letter"] > 0.5 * v:
+        return "prose_unspaced" if k["space"] < 0.08 * v else "prose_uncased"
+    return "prose" if v > 20 and k["symbol"] < 0.05 * v and k["capital"] < 0.2 * v else None
+
+
+def _spoken(line: str, shape: str, languages: dict[str, frozenset[str]]) -> str | None:
+    """The language of a line of prose by its function words, if one has most and two at least, or its script."""
+    if shape != "prose":
+        found = {x: len(p.findall(line)) for x, p in _SCRIPT.items()}
+        best = max(found, key=found.get)
+        return "kana" if best == "han" and found["kana"] else best if found[best] else None
+    words = set(_WORD.findall(line.lower()))
+    hits = sorted(((len(words & known), x) for x, known in languages.items()), reverse=True)
+    return hits[0][1] if hits and hits[0][0] >= 2 and (len(hits) < 2 or hits[0][0] > hits[1][0]) else None
+
+
+def labelled_lines(text: str, languages: dict[str, frozenset[str]], common: frozenset[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """(label, shares over CLASSES) of the lines of a text that have a clear one, and of its clean prose lines as they look garbled."""
+    counts, visible, _ = line_table(text, common)
+    lines = text.split("\n")
+    told: list[tuple[str, str]] = []
+    for line, c, v in zip(lines, counts, visible):
+        shape = _shape(dict(zip(CLASSES, c)), v) if v else None
+        if shape is None:
             continue
-        counts, visible, _ = line_table(text, common)
-        counts, visible = counts[visible > 0], visible[visible > 0]
-        shares = counts / counts.sum(1, keepdims=True)
-        for s, c, v in zip(shares, counts, visible):
-            k = {x: c[_K[x]] for x in CLASSES}
-            letters = k["vowel"] + k["consonant"] + k["letter"] + k["capital"]
-            if garbled:
-                label = "garbled " + garbled if v > 20 and (k["capital"] + k["symbol"] > 0.25 * v) else None
-            elif k["unspaced"] >= 24:
-                label = "unspaced_run"
-            elif k["repeat"] > 12:
-                label = "repetition"
-            elif letters < 0.35 * v and k["digit"] > 0.5 * v:
-                label = "numbers"
-            elif letters < 0.35 * v and k["symbol"] > 0.3 * v:
-                label = "symbols"
-            elif k["gap"] >= 12:
-                label = "table" if k["digit"] > 0.1 * v else "menu"
-            elif k["leader"] >= 12:
-                label = "index"
-            elif k["leader"] >= 6 and k["digit"] > 0.15 * v:
-                label = "references"
-            elif k["marker"] and v < 60:
-                label = "list"
-            elif v > 20 and letters > 0.8 * v and k["vowel"] + k["letter"] == 0 and k["consonant"] > 0.8 * v:
-                label = "letters"
-            elif k["letter"] > 0.5 * v:
-                label = "prose_unspaced" if k["space"] < 0.08 * v else "prose_uncased"
-            elif v > 20 and k["function"]:
-                label = "prose"
-            else:
-                label = None
-            if label:
-                a = sums.setdefault(label, np.zeros(len(CLASSES) + 1))
-                a[:-1] += s
-                a[-1] += 1
-    return {k: tuple(round(float(x), 4) for x in a[:-1] / a[-1]) for k, a in sorted(sums.items()) if a[-1] >= (10 if "garbled" in k else 2)}
+        if not shape.startswith("prose"):
+            yield shape, c / c.sum()
+        elif spoken := _spoken(line, shape, languages):
+            yield shape, c / c.sum()
+            yield f"prose {spoken}", c / c.sum()
+            if shape == "prose" and _CYRILLIC.search(line):
+                for written, shown in GARBLINGS:
+                    told.append((f"garbled {written.replace('-', '_')} as {shown.replace('-', '_')}", line.encode(written, "replace").decode(shown, "replace").replace("\n", " ")))
+    if told:
+        counts, visible, _ = line_table("\n".join(x for _, x in told), common)
+        for (label, _), c, v in zip(told, counts, visible):
+            if v:
+                yield label, c / c.sum()
+
+
+_CYRILLIC = re.compile("[а-яё]")
+
+
+def fit_profiles(docs: DataFrame, languages: dict[str, frozenset[str]], id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS, least: int = FIT_LINES) -> Profiles:
+    """Names and shares of the profiles of a collection: sums of labelled lines, one row for each label and task."""
+    common = frozenset().union(*languages.values())
+    one_in = max(1, round(docs.count() / documents))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for text in b["text"]:
+                for label, shares in labelled_lines(text, languages, common):
+                    a = sums.setdefault(label, np.zeros(len(CLASSES) + 1))
+                    a[:-1] += shares
+                    a[-1] += 1
+        yield pd.DataFrame([(k, int(a[-1]), a[:-1].tolist()) for k, a in sums.items()], columns=["label", "n", "shares"])
+
+    chosen = docs.where(F.pmod(F.xxhash64(id_col), F.lit(one_in)) == 0).select(F.col(text_col).alias("text")).where(F.col("text").rlike("\\S"))
+    found = chosen.mapInPandas(run, "label string, n bigint, shares array<double>").groupBy("label").agg(F.sum("n").alias("n"), *(F.sum(F.get("shares", F.lit(k))).alias(f"s{k}") for k in range(len(CLASSES)))).collect()
+    profiles = dict(PROFILES)
+    for r in sorted(found, key=lambda r: r.label):
+        if r.n >= least:
+            profiles[r.label] = tuple(r[f"s{k}"] / r.n for k in range(len(CLASSES)))
+    return list(profiles), np.array(list(profiles.values()))

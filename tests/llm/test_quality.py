@@ -44,3 +44,15 @@ def test_operator(spark):
     assert {r.doc_id: r.profile for r in stats.collect() if r.doc_id != 4} == {1: "prose", 2: "blank", 3: "signs"}
     assert [r.doc_id for r in Q.mostly_structure(stats).where("doc_id < 4").collect()] == [3, 3]
     assert Q.quality_statistics(docs.where("false"), common).count() == 0
+
+
+def test_fitted_profiles(spark):
+    """Languages get profiles of their own from clean lines, structures from lines of their shape; rare kinds stay as they are."""
+    texts = ["Лес и дом на реке, и старик не спал в лесу" + " тихо" * (k % 3) for k in range(12)] + ["The boat of the river and the old house in it" + " now" * (k % 3) for k in range(12)] + ["\n".join(f"{k}) дом у реки" for k in range(1, 20))] + [None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    languages = {"ru": frozenset("и на не в".split()), "en": frozenset("the of and in it".split())}
+    names, profiles = Q.fit_profiles(docs, languages, least=5)
+    assert {"prose ru", "prose en", "garbled koi8_u as cp1251"} <= set(names) and np.allclose(profiles.sum(1), 1, atol=0.02)
+    assert tuple(profiles[names.index("table")]) == Q.PROFILES["table"] and tuple(profiles[names.index("list")]) != Q.PROFILES["list"]
+    assert Q.measure_many([texts[0], texts[12]], languages["ru"] | languages["en"], (names, profiles))[1][-1] == "prose en"
+    assert Q.fit_profiles(docs.where("false"), languages)[0] == list(Q.PROFILES)
