@@ -38,7 +38,7 @@ from ..sources.shared import checkpointed
 DOUBLES = (
     "aа. bЬ. cсϲ eе. iі. jјϳ oоο pрρ sѕ. xх. yу. hһ. qԛ. wԝ. dԁ. lӏ. vѵν "
     "AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ OОΟ PРΡ SЅ. TТΤ XХΧ YҮΥ ZꓜΖ N.Ν GԌ. QԚ. WԜ. "
-    ".ГΓ .ПΠ .ФΦ .Лᴧ ëё. ËЁΪ ïї. ÏЇ. èѐ. ÈЀ. ..."
+    ".ГΓ .ПΠ .ФΦ .Лᴧ ëё. ËЁ. ïї. ÏЇΪ èѐ. ÈЀ. ..."
 ).split()
 DOUBLES = tuple(g for g in DOUBLES if len(g) == 3 and g not in ("bЬ.", "..."))
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
