@@ -3,8 +3,8 @@
 Method: a lexicon of the corpus's frequent words (and a given word table) is indexed by
 symmetric deletes.  Words outside it are looked up among the words that share a
 delete; a weighted edit distance in which the known confusions of recognition are
-cheap ranks the candidates, and the bigram of word endings with the word before
-decides between those that are as near.  Lines are judged on the way: running headers
+cheap ranks the candidates, and bigrams decide between those that are as near: that with
+the word before, and, where it was never seen, that of the two words' endings.  Lines are judged on the way: running headers
 and page numbers, words broken over lines, misread characters; and the text is put
 together again in continuous paragraphs.
 
@@ -174,7 +174,7 @@ class Lexicon:
             return None
         best = found[0][0]
         ties = [w for d, w in found if d == best]
-        return max(ties, key=lambda w: (self.bigrams.get(f"{before[-2:]} {w[-2:]}", 0), self.words[w], w))
+        return max(ties, key=lambda w: (self.bigrams.get(f"={before} {w}", 0), self.bigrams.get(f"{before[-2:]} {w[-2:]}", 0), self.words[w], w))
 
     def spellings(self, token: str) -> list[str]:
         """Cyrillic spellings of a token with wrong signs: all of them, or of too many to list those that are words, and the plain one."""
@@ -475,11 +475,26 @@ def running_heads(text: str) -> list[str]:
     return heads
 
 
-def count_terms(text: str) -> list[str]:
-    """Terms of the counting pass: words, "ending ending" of neighbours, and "#" + running heads."""
-    words = _WORDS.findall(text.lower())
-    ends = [w[-2:] for w in words]
-    return [*words, *map(" ".join, zip(ends, ends[1:])), *("#" + h for h in running_heads(text))]
+def mistakable(words: Iterable[str]) -> frozenset[str]:
+    """Words that may be misread as the same form as another one, so that only context tells them apart."""
+    forms: dict[str, set[str]] = defaultdict(set)
+    for w in words:
+        for i, c in enumerate(w):
+            for wrong in CONFUSIONS.get(c, ""):
+                forms[w[:i] + wrong + w[i + 1 :]].add(w)
+    return frozenset(w for found in forms.values() if len(found) > 1 for w in found)
+
+
+def term_counter(told_apart: frozenset[str] = frozenset()) -> Callable[[str], list[str]]:
+    """Terms of the counting pass: words, "ending ending" of neighbours, "=word word" before a mistakable one, and "#" + running heads."""
+
+    def terms(text: str) -> list[str]:
+        words = _WORDS.findall(text.lower())
+        ends = [w[-2:] for w in words]
+        pairs = [f"={a} {b}" for a, b in zip(words, words[1:]) if b in told_apart]
+        return [*words, *map(" ".join, zip(ends, ends[1:])), *pairs, *("#" + h for h in running_heads(text))]
+
+    return terms
 
 
 def _asking(may: Callable[[str], bool]) -> Callable[[str, bool], tuple[str, ...]]:
@@ -633,9 +648,15 @@ def _rest(terms: DataFrame, lexicon: Lexicon, given: set[str]) -> DataFrame:
 def corpus_lexicon(docs: DataFrame, words: DataFrame | None = None, text_col: str = "text", word_col: str = "word") -> Lexicon:
     """The lexicon of a collection: every text is counted; words, bigrams and heads of a fixed share of it are sent to the tasks, rarer words and heads stay a table."""
     n = docs.agg(F.count(F.col(text_col))).first()[0]
+    given: set[str] = set()
+    if words is not None:
+        rows = words.select(F.lower(word_col).alias("w")).where("w is not null and w rlike '^[а-яё-]+$'").distinct().limit(MAX_WORDS + 1).collect()
+        if len(rows) > MAX_WORDS:
+            raise ValueError("the word table is too long to be sent to every task")
+        given = {r.w for r in rows}
     is_bigram, is_head = F.col("term").contains(" ") & ~F.col("term").startswith("#"), F.col("term").startswith("#")
     least, least_head = max(LEXICON_LEAST, LEXICON_SHARE * n), max(HEAD_LEAST, HEAD_SHARE * n)
-    counted = term_frequencies(docs, text_col, count_terms).where(
+    counted = term_frequencies(docs, text_col, term_counter(mistakable(given))).where(
         F.when(is_head, F.col("docs") >= HEAD_LEAST).when(is_bigram, F.col("n") >= max(3, BIGRAM_SHARE * n)).otherwise(F.col("docs") >= LEXICON_LEAST)
     )
     all_sent = least <= LEXICON_LEAST and least_head <= HEAD_LEAST
@@ -644,14 +665,9 @@ def corpus_lexicon(docs: DataFrame, words: DataFrame | None = None, text_col: st
     sent = F.when(is_head, F.col("docs") >= least_head).when(is_bigram, True).otherwise(F.col("docs") >= least)
     kept = counted.where(sent).collect()
     lexicon = {r.term: r.docs for r in kept if " " not in r.term and r.term[0] != "#"}
-    if words is not None:
-        rows = words.select(F.lower(word_col).alias("w")).where("w is not null and w rlike '^[а-яё-]+$'").distinct().limit(MAX_WORDS + 1).collect()
-        if len(rows) > MAX_WORDS:
-            raise ValueError("the word table is too long to be sent to every task")
-        for r in rows:
-            lexicon.setdefault(r.w, 1)
+    for w in given:
+        lexicon.setdefault(w, 1)
     # a misread form that recurs is no word: it is known only if no far more frequent word is one confusion away
-    given = {r.w for r in rows} if words is not None else set()
     probe = Lexicon(dict(lexicon))
     for w in [w for w in lexicon if w not in given and len(w) > 2]:
         if any(d <= 0.5 and probe.words[c] > 8 * probe.words[w] for d, c in probe.look_up(w) if c != w):

@@ -53,6 +53,10 @@ def test_context_decides():
     assert lx.repair("пода", "тихая") in ("вода", "нода")
     lx = S.Lexicon({"вор": 5, "ноп": 5, "воры": 9, "норы": 1}, {"ая ры": 1}, [])
     assert lx.repair("поры") == "воры"
+    lx = S.Lexicon({"воры": 9, "норы": 1}, {"ая ры": 1, "=глубокие норы": 4}, [])
+    assert lx.repair("поры", "глубокие") == "норы" and lx.repair("поры", "ночные") == "воры"
+    assert S.mistakable(["вода", "нода", "лес", "норы", "воры"]) == {"вода", "нода", "норы", "воры"}
+    assert "=тихая вода" in S.term_counter(frozenset(["вода"]))("Тихая вода, тихая река")
 
 
 def test_operator(spark):
