@@ -8,6 +8,10 @@ until one is decided, so both totals stay what they are.  It runs in shards; the
 documents that each leaves undecided fly again together, by source, and the last two
 land where the source's tokens, then its number of documents, come nearest to what they should be.
 
+Documents above ``LARGE`` of what their source has to give are decided first, in the same way; the
+others then share what is left, so a large document that ends in or out is made up for by many
+small ones and a source misses its tokens by half of ``LARGE`` at most, unless it has only large documents.
+
 Defined results for odd input: a null or non-positive weight, or a null budget, asks for nothing; a
 null ``max_uses`` sets no cap; a null source of a target names no documents; null texts
 have size 0; a source without documents gives none and is reported as not reached;
@@ -27,6 +31,8 @@ from ..sources.shared import checkpointed
 
 SHARD = 20_000
 MAX_TARGETS = 100_000
+#: Share of a source's tokens from which a document is decided before the others.
+LARGE = 0.02
 
 
 def flight(items: list[tuple[int, int, float]], rng: random.Random) -> list[tuple[int, int, float]]:
@@ -106,8 +112,10 @@ def mix_sources(sizes: DataFrame, wishes: DataFrame, seed: int = 7, shard: int =
 
     ``sizes`` is (id, source, size), see ``sized``; ``wishes`` comes from ``wanted``.  Only ids and sizes move.
     """
-    asked = wishes.where("has_docs > 0").select("mix_id", "source", "full_uses", "p", F.ceil(F.col("has_docs") / F.lit(shard)).cast("int").alias("shards"))
+    keys = ["mix_id", "source"]
+    asked = wishes.where("has_docs > 0").select(*keys, "full_uses", "p", (F.col("p") * F.col("has_tokens")).alias("due"), F.ceil(F.col("has_docs") / F.lit(shard)).cast("int").alias("shards"))
     items = sizes.join(F.broadcast(asked), "source").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards")).cast("int"))
+    is_large = (F.col("p") > 0) & (F.col("size") > F.lit(LARGE) * F.col("due"))
     id_type, mix_type = dict(sizes.dtypes)["id"], dict(wishes.dtypes)["mix_id"]
     schema = f"mix_id {mix_type}, source string, id {id_type}, size bigint, full_uses int, p double"
 
@@ -129,12 +137,19 @@ def mix_sources(sizes: DataFrame, wishes: DataFrame, seed: int = 7, shard: int =
             p[i] = x
         return pdf.assign(p=p)[["mix_id", "source", "id", "size", "full_uses", "p"]]
 
-    flown = items.groupBy("mix_id", "source", "shard").applyInPandas(fly, schema)
-    # the first flight is kept, so the second sees the same undecided ones and it isn't run twice
-    flown = checkpointed(flown)
-    open_ = "p > 0 and p < 1"
-    landed = flown.where(open_).groupBy("mix_id", "source").applyInPandas(last, schema)
-    uses = flown.where(f"not ({open_})").unionByName(landed)
+    def decide(items: DataFrame) -> DataFrame:
+        # the first flight is kept, so the second sees the same undecided ones and it isn't run twice
+        flown = checkpointed(items.groupBy("mix_id", "source", "shard").applyInPandas(fly, schema))
+        open_ = "p > 0 and p < 1"
+        return flown.where(f"not ({open_})").unionByName(flown.where(open_).groupBy("mix_id", "source").applyInPandas(last, schema))
+
+    large = checkpointed(decide(items.where(is_large)))
+    taken = large.groupBy(*keys).agg(F.sum(F.col("size") * F.col("p")).alias("taken"))
+    rest = items.where(~is_large)
+    left = rest.groupBy(*keys).agg(F.sum("size").alias("size"), F.max("due").alias("due")).join(taken, keys, "left")  # a row for each target
+    chance = F.coalesce(F.least(F.greatest(F.try_divide(F.col("due") - F.coalesce("taken", F.lit(0.0)), F.col("size").cast("double")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    rest = rest.drop("p").join(F.broadcast(left.select(*keys, chance.alias("p"))), keys)
+    uses = large.unionByName(decide(rest))
     return uses.select("mix_id", "source", F.col("id").alias("doc_id"), "size", (F.col("full_uses") + F.col("p").cast("int")).alias("uses")).where("uses > 0")
 
 

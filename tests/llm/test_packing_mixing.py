@@ -102,3 +102,18 @@ def test_landing_has_the_least_error():
         want = sum(s * p for _, s, p in items)
         errors = [abs(50 + items[1][1] * a + items[2][1] * b - want) for a in (0, 1) for b in (0, 1)]
         assert {x[2] for x in out} <= {0.0, 1.0} and abs(sum(s * p for _, s, p in out) - want) == pytest.approx(min(errors))
+
+
+def test_sources_with_a_large_document(spark):
+    """A document of half a source can't spoil its tokens."""
+    rng = random.Random(4)
+    rows = [(k, "a", rng.randrange(50, 400)) for k in range(150)] + [(999, "a", 30_000)]
+    docs = spark.createDataFrame(rows, "id long, source string, size long")
+    total = sum(r[2] for r in rows)
+    for part in (0.3, 0.55, 0.8):
+        plans = spark.createDataFrame([(1, int(part * total))], "mix_id int, budget_tokens long")
+        targets = spark.createDataFrame([(1, "a", 1.0, 1)], "mix_id int, source string, weight double, max_uses int")
+        w = M.wanted(docs, plans, targets)
+        uses = M.mix_sources(docs, w)
+        r = M.mix_report(uses, w).first()
+        assert abs(r.given_tokens - r.wanted_tokens) < 0.03 * r.wanted_tokens and r.most_uses == 1 and uses.count() == r.documents
