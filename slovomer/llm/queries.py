@@ -47,7 +47,8 @@ def p1_targets(spark: SparkSession, folder: str) -> DataFrame:
 def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
     """Of each plan the drawn records and distinct files, and whether every cell kept its minimum as far as there are records."""
     sample, report = _sample(spark, folder)
-    floors = _t(spark, folder, "sample_targets").select("plan_id", "target_id", F.coalesce("min_records", F.lit(0)).alias("least"))
+    floors = _t(spark, folder, "sample_targets").join(_t(spark, folder, "sample_plans"), "plan_id").where("coalesce(min_records, 0) <= sample_size")
+    floors = floors.select("plan_id", "target_id", F.coalesce("min_records", F.lit(0)).alias("least"))
     kept = report.join(floors, ["plan_id", "target_id"]).groupBy("plan_id").agg(F.every(F.col("drawn") >= F.least("least", "available")).alias("floors_kept"))
     return sample.groupBy("plan_id").agg(F.count("*").alias("drawn"), F.countDistinct("file").alias("files")).join(kept, "plan_id")
 

@@ -17,7 +17,8 @@ Defined results for odd input: a null label or year lies in no cell that restric
 impossible years are compared as numbers; a label that reads as nothing (blank) is
 null; a record is the latest row of its file by ``loaded_at`` (of several, the one with
 the greatest id; null times come first); rows without a file are no records; a target
-with a null share and minimum asks for nothing; empty tables give an empty sample and
+with a null share and minimum asks for nothing; a minimum above the plan's sample size is not kept, and
+its target is reported as not reached; empty tables give an empty sample and
 every target with a wish unmet; extra columns are not read.
 """
 
@@ -241,7 +242,9 @@ def sample_to_targets(rows: DataFrame, plans: DataFrame, targets: DataFrame, see
             stock[s] += c["count"]
             members[s].append(c)
         wishes = {k: int((r.share or 0.0) * size_of[plan] + 0.5) for k, r in enumerate(mine)}
-        floors = {k: r.min_records or 0 for k, r in enumerate(mine)}
+        # a minimum above the size of the sample can't be kept, and would empty all other cells: the share stands alone
+        floors = {k: r.min_records if (r.min_records or 0) <= size_of[plan] else 0 for k, r in enumerate(mine)}
+        floors = {k: n or 0 for k, n in floors.items()}
         drawn = swap_repair(dict(stock), wishes, floors, size_of[plan], random.Random(seed * 1000 + hash(plan)))
         for number, s in enumerate(sorted(stock, key=sorted)):
             lies_in += [(plan, number, mine[k].target_id) for k in s]
