@@ -40,6 +40,8 @@ SPLIT_ROWS, SPLIT_BITS = 2_000_000, 4
 MEMORY = "256MB"
 #: Bytes of input for one radix partition, and how many there are at most.
 BYTES, MAX_PARTITIONS = 1 << 30, 50_000
+#: An estimate from here on says that the optimizer knows no size.
+UNKNOWN_BYTES = 1 << 55
 
 
 def _finder(pattern: str) -> Callable[[str], list[str]]:
@@ -123,8 +125,9 @@ def _aggregate(folder: str, split_rows: int, memory: str):
 
 
 def _input_bytes(rows: DataFrame) -> int:
-    """The optimizer's estimate of a table's size."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of a table's size; 0 where it has none, as for rows that don't come from files."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else 0
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text", pattern: str | Callable[[str], list[str]] = TERM, partitions: int | None = None, flush: int = FLUSH_TERMS, split_rows: int = SPLIT_ROWS) -> DataFrame:

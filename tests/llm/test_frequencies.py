@@ -43,3 +43,9 @@ def test_spills_without_a_shared_file_system(tmp_path, monkeypatch, shared):
     rows = pa.RecordBatch.from_pydict({"term": [f"{'слово' * 8}{k % 300_000}" for k in range(600_000)], "n": [1] * 600_000, "docs": [1] * 600_000})
     got = pa.Table.from_batches(list(Q._aggregate(shared, 50_000_000, "64MB")(iter([rows]))))
     assert got.num_rows == 300_000 and set(got["n"].to_pylist()) == {2} and not list(tmp_path.iterdir())
+
+
+def test_partitions_of_unknown_input(spark):
+    """Rows that don't come from files have no size to go by."""
+    df = spark.createDataFrame([(k, "дом лес") for k in range(9)], "doc_id long, text string")
+    assert Q._input_bytes(df) < Q.UNKNOWN_BYTES and Q.term_frequencies(df).rdd.getNumPartitions() <= 4
