@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,8 +31,6 @@ SINGLE_BYTE_PAIRS = (
     ("cp1252", "cp1251"), ("cp1251", "koi8_u"), ("koi8_u", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"),
     ("cp1252", "koi8_u"), ("cp1252", "cp866"), ("koi8_u", "cp866"), ("cp866", "koi8_u"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"),
 )
-#: Rows of the word table from which the letter-pair model is fitted, at most.
-MODEL_WORDS = 200_000
 #: Gain in natural-log likelihood from which a run of tokens counts as garbled.
 MIN_GAIN = 14.0
 
@@ -239,15 +237,19 @@ def decode_multibyte(text: str) -> tuple[str, list[str]]:
     return text, kinds
 
 
+def count_pairs(words: Iterable[str]) -> Counter[str]:
+    """Letter pairs of words, each with a space at both ends."""
+    text = " " + "".join(f"{w.lower()} " for w in words)
+    return Counter(map("".join, zip(text, text[1:])))
+
+
 class LetterModel:
-    """Log-likelihood of letter pairs, fitted to a word list; small, so it travels in the closure."""
-
-    def __init__(self, words: Iterable[str]):
-        pairs, singles = Counter(), Counter()
-        for w in words:
-            w = f" {w.lower()} "
-            pairs.update(map("".join, zip(w, w[1:])))
-            singles.update(w[:-1])
+    """Log-likelihood of letter pairs, fitted to a word list or to the counts of its pairs; small, so it travels in the closure."""
+
+    def __init__(self, words: Iterable[str] = (), counts: Mapping[str, int] | None = None):
+        pairs, singles = count_pairs(words) if counts is None else counts, Counter()
+        for p, n in pairs.items():
+            singles[p[0]] += n
         self.pairs = {p: max(-9.0, math.log((n + 0.05) / (singles[p[0]] + 3))) for p, n in pairs.items()}
         self.floor = -9.0
 
@@ -374,10 +376,18 @@ def repair(text: str | None, model: LetterModel) -> tuple[bool, str | None, str
     return bool(kinds), ", ".join(dict.fromkeys(kinds)) or None, out
 
 
-def fit_letter_model(words: DataFrame, word_col: str = "word", max_words: int = MODEL_WORDS) -> LetterModel:
-    """Letter-pair model of a word table, from at most ``max_words`` of its distinct words, in order."""
-    rows = words.select(F.lower(word_col).alias("w")).where("w is not null and length(w) > 0").distinct().orderBy("w").limit(max_words).collect()
-    return LetterModel(r.w for r in rows)
+def fit_letter_model(words: DataFrame, word_col: str = "word") -> LetterModel:
+    """Letter-pair model of all distinct words of a table; each task counts the pairs of its words, and only the counts come to the driver."""
+    distinct = words.select(F.lower(word_col).alias("w")).where("w is not null and length(w) > 0").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[str] = Counter()
+        for b in batches:
+            counts.update(count_pairs(b["w"]))
+        yield pd.DataFrame(counts.items(), columns=["pair", "n"])
+
+    rows = distinct.mapInPandas(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return LetterModel(counts={r.pair: r.n for r in rows})
 
 
 def repair_encoding(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word") -> DataFrame:

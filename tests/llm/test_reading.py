@@ -53,3 +53,14 @@ def test_own_share_is_taken_out():
     sums, weights = np.zeros(R.NODES), np.zeros(R.NODES)
     sums[0], weights[0], sums[128], weights[128] = 7.0, 1.0, 14.0, 2.0
     assert np.isnan(R._levels(b, sums, weights, np.zeros(3))).all()
+
+
+def test_all_words_teach_the_repair(spark):
+    rng = random.Random(2)
+    rows = [(k, g, make(rng, g)) for k, g in enumerate(g for g in range(1, 12) for _ in range(4))]
+    text = make(rng, 6)
+    df = spark.createDataFrame([*rows, (100, None, text), (101, None, text.encode("cp1251").decode("latin-1"))], "rec_id long, grade int, text string")
+    own = spark.createDataFrame([(w,) for w in text.lower().replace(".", "").split()], "word string")
+    words = spark.range(200_001).selectExpr("concat('a', hex(id)) as word").unionByName(own)  # those of the text come last
+    level = {r.rec_id: r.level for r in R.reading_levels(df, words).where("grade is null").collect()}
+    assert level[100] is not None and level[101] == pytest.approx(level[100])
