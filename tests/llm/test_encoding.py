@@ -102,3 +102,12 @@ def test_best_runs_against_brute_force():
         steps = [rng.choice([-7.3, -3.1, -1.7, 0.9, 2.3, 5.9]) * rng.uniform(0.9, 1.1) for _ in range(rng.randrange(14))]
         want = [(round(s, 6), i, j) for s, i, j in brute(steps, 0, len(steps)) if s >= 2]
         assert [(round(s, 6), i, j) for s, i, j in E.best_runs(steps, 2)] == want
+
+
+def test_model_of_all_words(spark):
+    latin = spark.range(200_001).selectExpr("concat('a', hex(id)) as word")
+    words = latin.unionByName(spark.createDataFrame([(w,) for w in [*WORDS, "ЛЕС", "", None]], "word string"))  # these come last in order
+    assert E.fit_letter_model(words).pairs == E.LetterModel({r.word.lower() for r in words.collect() if r.word}).pairs
+    df = spark.createDataFrame([(1, TEXT), (2, TEXT.encode("cp1251").decode("latin-1"))], "doc_id long, text string")
+    assert [(r.doc_id, r.restored) for r in E.repair_encoding(df, words).collect()] == [(2, TEXT)]
+    assert E.fit_letter_model(words.where("false")).pairs == {}
