@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,7 +241,9 @@ def decode_multibyte(text: str) -> tuple[str, list[str]]:
 def count_pairs(words: Iterable[str]) -> Counter[str]:
     """Letter pairs of words, each with a space at both ends."""
     text = " " + "".join(f"{w.lower()} " for w in words)
-    return Counter(map("".join, zip(text, text[1:])))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    pairs, counts = np.unique(codes[:-1] << 32 | codes[1:], return_counts=True)
+    return Counter({chr(p >> 32) + chr(p & 0xFFFFFFFF): n for p, n in zip(pairs.tolist(), counts.tolist())})
 
 
 class LetterModel:

@@ -111,3 +111,9 @@ def test_model_of_all_words(spark):
     df = spark.createDataFrame([(1, TEXT), (2, TEXT.encode("cp1251").decode("latin-1"))], "doc_id long, text string")
     assert [(r.doc_id, r.restored) for r in E.repair_encoding(df, words).collect()] == [(2, TEXT)]
     assert E.fit_letter_model(words.where("false")).pairs == {}
+
+
+@pytest.mark.parametrize("words", [[], ["а"], WORDS, ["Лес", "x" * 70_000, "a\U0001f600b", "水", "два слова"]])
+def test_count_pairs_one_by_one(words):
+    padded = [f" {w.lower()} " for w in words]
+    assert E.count_pairs(words) == E.Counter(w[k : k + 2] for w in padded for k in range(len(w) - 1))
